@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rillgraph.llm import chat, decontaminate, mixing, sharding, simhash
+from rillgraph.llm import chat, decontaminate, mixing, sharding, simhash, tokens, warc
 
-MODULES = [mixing, decontaminate, sharding, chat, simhash]
+MODULES = [mixing, decontaminate, sharding, chat, simhash, tokens, warc]
 QUERIES: dict = {m.NAME: m.query for m in MODULES}
 ORACLES: dict = {m.NAME: m.SQL for m in MODULES if getattr(m, "SQL", None)}
