@@ -21,7 +21,7 @@ MAGIC = b"PFOR1\0\0\0"
 BLOCK, PERCENTILE = 128, 90
 FILE_IDS = 8 << 20
 #: Pieces whose ids a task remembers; beyond, it forgets all and begins anew (memory only).
-MEMORY = 1_000_000
+MEMORY = 600_000
 
 
 def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
@@ -31,9 +31,15 @@ def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes,
     minimum, packed; then the exceptions' positions (u1) and their high bits (u4). width is what the given percentile of the
     block's values needs. All blocks of one width are packed at once.
     """
-    n = len(ids)
+    n, most = len(ids), 4096 * BLOCK
     if not n:
         return b"", np.empty(0, np.uint64)
+    if n > most:  # bounded memory
+        parts, out, at = [pack_blocks(ids[i : i + most], percentile) for i in range(0, n, most)], [], 0
+        for b, s in parts:
+            out.append(s + np.uint64(at))
+            at += len(b)
+        return b"".join(b for b, _ in parts), np.concatenate(out)
     nb = -(-n // BLOCK)
     full = np.full(nb * BLOCK, 0, np.uint32)
     full[:n] = ids
@@ -86,6 +92,8 @@ def unpack_all(buf, starts: np.ndarray) -> np.ndarray:
     """All blocks at once, grouped by width."""
     if not len(starts):
         return np.empty(0, np.uint32)
+    if len(starts) > 4096:  # bounded memory
+        return np.concatenate([unpack_all(buf, starts[i : i + 4096]) for i in range(0, len(starts), 4096)])
     b = np.frombuffer(buf, np.uint8)
     s = starts.astype(np.int64)
     head = b[s[:, None] + np.arange(8)]
