@@ -1,6 +1,58 @@
-"""Stages from raw documents to shards."""
+"""From raw documents to a sharded training mix: five stages, each on all that the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rillgraph.llm import decontaminate, langid, mixing, sharding, simhash
+from rillgraph.llm.common import cut, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Language ID rejects documents without a letter and those whose best language has less than this share of their words.
+LEAST_SHARE = 0.35
+#: Of the words that remain, and at most so many epochs of a leaf, the mixture takes:
+FRACTION, EPOCHS, SHARDS = 0.9, 1, 40
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows."""
+    found = langid.identify(docs, langid.fit(docs), COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id (of rows that repeat it, the first by text)."""
+    groups = simhash.simhash_components(docs).where("component = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
+    once = docs.join(groups, docs["doc_id"] == groups["_keep"], "left_semi")
+    return once.dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"), "_text_md5").distinct()
+    at = docs["doc_id"].eqNullSafe(hit["_id"]) & F.md5(docs["text"].cast("binary")).eqNullSafe(hit["_text_md5"])
+    return docs.join(hit, at, "left_anti").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target weights take."""
+    return mixing.mix(docs.select(*COLUMNS), fraction=FRACTION, epochs=EPOCHS).select(*COLUMNS)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their size, shard and place in it."""
+    return sharding.shard(docs.select(*COLUMNS), SHARDS)
+
+
+STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
+#: The first stage learns a model, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what each keeps is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
