@@ -41,13 +41,14 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     leaves = jumps[-1].where("up is null").join(inner, ["tree", "msg"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("sum").desc(), "msg")
     on = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", F.col("msg").alias("leaf"), "rank", "msg", F.col("n").alias("depth"))
-    for k in reversed(range(len(jumps) - 1)):
+    on = cut(on, "paths")
+    for k in reversed(range(len(jumps) - 1)):  # each round reads the one before twice, so each is cut: else the plan doubles
         step = jumps[k].where("up is not null").select("tree", "msg", "up")
-        on = on.union(on.join(step, ["tree", "msg"]).select("tree", "leaf", "rank", F.col("up").alias("msg"), (F.col("depth") - (1 << k)).alias("depth")))
-    out = cut(on, "paths")
+        old, on = on, cut(on.union(on.join(step, ["tree", "msg"]).select("tree", "leaf", "rank", F.col("up").alias("msg"), (F.col("depth") - (1 << k)).alias("depth"))), "paths")
+        discard(old)
     for j in jumps:
         discard(j)
-    return out
+    return on
 
 
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
