@@ -26,27 +26,35 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     A branch is a leaf; branches of a tree are ranked by the sum of their messages' scores (null: 0), then by leaf, and the
     first `branches` are chosen. Paths are enumerated by iterative self-joins with doubling: round k joins every message to
     its ancestor 2^k above, so a tree of depth d takes log2(d) rounds, and only ancestors of chosen leaves become rows.
-    A parent that is missing from its tree, or is the message itself, makes a root; messages on a cycle have no path.
+    A parent that is missing from its tree, or is the message itself, makes a root; messages on a cycle have no path, nor have
+    rows with a null tree or msg. Of rows with the same tree and msg the smallest (parent, score) counts.
     """
-    m = messages.select("tree", "msg", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"), F.when(F.col("parent") != F.col("msg"), F.col("parent")).alias("parent")).dropDuplicates(["tree", "msg"])
+    m = messages.select("tree", "msg", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"), F.when(F.col("parent") != F.col("msg"), F.col("parent")).alias("parent"))
+    m = m.where("tree is not null and msg is not null").groupBy("tree", "msg").agg(F.min(F.struct("parent", "score")).alias("x")).select("tree", "msg", "x.parent", "x.score")
     known = m.select("tree", F.col("msg").alias("parent"), F.lit(True).alias("known"))
     m = m.join(known, ["tree", "parent"], "left").select("tree", "msg", "score", F.when(F.col("known"), F.col("parent")).alias("up"))
-    # up: the ancestor 2^k above; sum: scores from the message to just below it; n: messages so counted
-    jumps = [cut(m.select("tree", "msg", "up", F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")), "jumps")]
-    bound = jumps[0].count().bit_length() + 1
-    while len(jumps) <= bound and not jumps[-1].where("up is not null").isEmpty():
-        a, b = jumps[-1], jumps[-1].select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
-        jumps.append(cut(a.join(b, ["tree", "up"], "left").select("tree", "msg", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "jumps"))
-    inner = jumps[0].where("up is not null").select("tree", F.col("up").alias("msg")).distinct()
-    leaves = jumps[-1].where("up is null").join(inner, ["tree", "msg"], "left_anti")
+    # up: the ancestor 2^k above; sum: scores from the message to just below it; n: messages so counted. A message that has
+    # reached its root is done and takes no part in later rounds, so a round costs the messages deeper than 2^k.
+    m = cut(m.select("tree", "msg", "up", F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")), "jumps")
+    written, jumps, done = [m], [m.where("up is not null")], m.where("up is null")
+    bound = m.count().bit_length() + 1
+    while len(jumps) <= bound and not jumps[-1].isEmpty():
+        a = jumps[-1]
+        b = a.union(done).select("tree", F.col("msg").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
+        m = cut(a.join(b, ["tree", "up"]).select("tree", "msg", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n")), "jumps")
+        written.append(m)
+        jumps.append(m.where("up is not null"))
+        done = done.union(m.where("up is null"))
+    inner = jumps[0].select("tree", F.col("up").alias("msg")).distinct()
+    leaves = done.join(inner, ["tree", "msg"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("sum").desc(), "msg")
     on = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", F.col("msg").alias("leaf"), "rank", "msg", F.col("n").alias("depth"))
     on = cut(on, "paths")
     for k in reversed(range(len(jumps) - 1)):  # each round reads the one before twice, so each is cut: else the plan doubles
-        step = jumps[k].where("up is not null").select("tree", "msg", "up")
+        step = jumps[k].select("tree", "msg", "up")
         old, on = on, cut(on.union(on.join(step, ["tree", "msg"]).select("tree", "leaf", "rank", F.col("up").alias("msg"), (F.col("depth") - (1 << k)).alias("depth"))), "paths")
         discard(old)
-    for j in jumps:
+    for j in written:
         discard(j)
     return on
 
@@ -55,10 +63,11 @@ def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, rank, formatted, loss): one row for each chosen branch of messages (tree, msg, parent, role, text, score).
 
     formatted holds `<|im_start|>role\\ntext<|im_end|>\\n` for each turn, with control strings inside texts and roles escaped;
-    loss lists (start, length) in code points of each assistant text in it. Null roles and texts are empty, repeated
-    (tree, msg) rows count once, an empty table gives no rows; other columns are not read.
+    loss lists (start, length) in code points of each assistant text in it. Null roles and texts are empty, of
+    repeated (tree, msg) rows the smallest (role, text) counts, an empty table gives no rows; other columns are not read.
     """
-    clean = messages.select("tree", "msg", F.regexp_replace(escape(F.coalesce("role", F.lit(""))), "\n", NEWLINE).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).dropDuplicates(["tree", "msg"])
+    clean = messages.select("tree", "msg", F.regexp_replace(escape(F.coalesce("role", F.lit(""))), "\n", NEWLINE).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+    clean = clean.groupBy("tree", "msg").agg(F.min(F.struct("role", "text")).alias("x")).select("tree", "msg", "x.role", "x.text")
     d = paths(messages, branches).join(clean, ["tree", "msg"])
     d = d.withColumn("head", F.concat(F.lit(START), "role", F.lit("\n"))).withColumn("piece", F.concat("head", "text", F.lit(END + "\n")))
     turns = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
