@@ -11,6 +11,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from rillgraph.llm import blobs
 from rillgraph.llm.common import cut, fresh_dir, table
 
 NAME = "op9_lm"
-BLOCK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1 << 22, 1 << 20, 64
+BLOCK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS = 1 << 20, 1 << 20, 64
 #: Local word numbers and hashes of the two marks; real words follow.
 BOS, END, MARKS = 0, 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: EM runs on a table of (context bucket, quantised log2 p2, quantised log2 p1): at most 64 x 161 x 161 cells.
@@ -65,15 +66,18 @@ class Block:
         self.n = np.frombuffer(row["n"], np.int64)
         self.words = np.frombuffer(row["words"], np.uint64)
         self.toks = unplanes(row["toks"], np.uint32)
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
         before = np.empty_like(self.toks)
         before[1:] = self.toks[:-1]
         before[np.cumsum(self.n) - self.n] = BOS
         pairs = (before.astype(np.uint64) << np.uint64(32)) | self.toks
-        types, self.pair = np.unique(pairs, return_inverse=True)
-        self.u, self.w = (types >> np.uint64(32)).astype(np.int64), (types & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        types, pair = np.unique(pairs, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del pairs, pair, before
+        self.u, self.w = (types >> np.uint64(32)).astype(np.int32), (types & np.uint64(0xFFFFFFFF)).astype(np.int32)
         self.ukeys, self.uat = np.unique(self.words, return_inverse=True)
-        self.bkeys, self.bat = np.unique(_mix(self.words[self.u], self.words[self.w]), return_inverse=True)
+        self.bkeys, bat = np.unique(_mix(self.words[self.u], self.words[self.w]), return_inverse=True)
+        self.bat = bat.astype(np.int32)
 
     def counts(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each unigram and bigram key, in the documents so marked."""
@@ -128,12 +132,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: b.column(n)[i].as_py() for n in b.schema.names}
 
 
+def each(fn):
+    """fn of each row; what it holds is let go before the next row, so a task has one block in memory."""
+    return lambda batches: map(fn, _rows(batches))
+
+
 def _answers(folder: str, block: int) -> list[np.ndarray]:
     """[unigram train, fold, bigram train, fold] counts in the whole corpus of a block's keys, in their order."""
     raw, out, at = blobs.read(f"{folder}/{block}.counts"), [], 32
-    for n in np.frombuffer(raw, np.int64, 4):
-        out.append(np.frombuffer(raw, np.uint32, n, at))
-        at += 4 * n
+    for n in np.frombuffer(raw, np.int64, 4).tolist():
+        out.append(unplanes(zstandard.decompress(raw[at : at + n]), np.uint32))
+        at += n
     return out
 
 
@@ -181,15 +190,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     buckets = max(LEAST_BUCKETS, -(-tokens // (4 * BUCKET_TOKENS)))
     folder = blobs.make_dir(fresh_dir(spark, "counts"))
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            x = Block(row)
-            train, fold = x.counts(x.rest != 0), x.counts(x.rest == 1)
-            (ut, bt), (uf, bf) = train, fold
-            ends = [np.searchsorted(_bucket(k, buckets), np.arange(buckets + 1)) for k in (x.ukeys, x.bkeys)]
-            cuts = lambda a, e, f=planes: [f(a[e[k] : e[k + 1]]) for k in range(buckets)]
-            cols = [np.arange(buckets, dtype=np.int32), np.full(buckets, row["block"]), cuts(x.ukeys, ends[0], deltas), cuts(ut, ends[0]), cuts(uf, ends[0]), cuts(x.bkeys, ends[1], deltas), cuts(bt, ends[1]), cuts(bf, ends[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "block", "uk", "ut", "uf", "bk", "bt", "bf"])
+    def asked_of(row: dict) -> pa.RecordBatch:
+        x = Block(row)
+        train, fold = x.counts(x.rest != 0), x.counts(x.rest == 1)
+        (ut, bt), (uf, bf) = train, fold
+        ends = [np.searchsorted(_bucket(k, buckets), np.arange(buckets + 1)) for k in (x.ukeys, x.bkeys)]
+        some = np.nonzero((np.diff(ends[0]) > 0) | (np.diff(ends[1]) > 0))[0]  # rows are at most the block's n-gram types
+        cuts = lambda a, e, f=planes: [f(a[e[k] : e[k + 1]]) for k in some]
+        cols = [some.astype(np.int32), np.full(len(some), row["block"]), cuts(x.ukeys, ends[0], deltas), cuts(ut, ends[0]), cuts(uf, ends[0]), cuts(x.bkeys, ends[1], deltas), cuts(bt, ends[1]), cuts(bf, ends[1])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "block", "uk", "ut", "uf", "bk", "bt", "bf"])
 
     def add(t: pa.Table) -> pa.Table:
         who, bucket, out, sums = t.column("block").to_numpy(), t.column("bucket")[0].as_py(), {}, [0, 0]
@@ -213,49 +222,47 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         order, block = np.argsort(t.column("bucket").to_numpy()), t.column("block")[0].as_py()
         cols = [np.concatenate([unplanes(t.column(p)[int(i)].as_py(), np.uint32) for i in order]) for p in ("ut", "uf", "bt", "bf")]
         w = blobs.Writer(folder, f"{block}", ".counts")
-        w.write(np.array([len(c) for c in cols], np.int64).tobytes() + b"".join(c.tobytes() for c in cols))
+        packed = [zstandard.compress(planes(c), 1) for c in cols]
+        w.write(np.array([len(c) for c in packed], np.int64).tobytes() + b"".join(packed))
         uri = w.close()
         f, path = blobs.filesystem(uri)
         f.move(path, os.path.join(os.path.dirname(path), f"{block}.counts"))
         return pa.table({"block": [block], "v": [sum(t.column("v").to_pylist())], "n": [sum(t.column("n").to_pylist())]})
 
-    asked = table_.mapInArrow(ask, "bucket int, block long, uk binary, ut binary, uf binary, bk binary, bt binary, bf binary")
+    asked = table_.mapInArrow(each(asked_of), "bucket int, block long, uk binary, ut binary, uf binary, bk binary, bt binary, bf binary")
     summed = asked.groupBy("bucket").applyInArrow(add, "block long, bucket int, ut binary, uf binary, bt binary, bf binary, v long, n long")
     kept = cut(summed.groupBy("block").applyInArrow(keep, "block long, v long, n long"), "answered")
     types, total = kept.agg(F.sum("v"), F.sum("n")).first()
     q0 = min(CELLS - 1, round(STEP * math.log2(types + 1)))
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            x = Block(row)
-            ut, uf, bt, bf = _answers(folder, row["block"])
-            on = np.bincount(x.pair[(x.rest == 1)[x.doc]], minlength=len(x.u))
-            k = np.nonzero(on)[0]
-            u, b = (ut - uf)[x.uat].astype(np.float64), (bt - bf)[x.bat].astype(np.float64)
-            cu, cw, cb = u[x.u[k]], u[x.w[k]], b[k]
-            q = lambda p: np.where(p > 0, np.minimum(CELLS - 1, np.round(-STEP * np.log2(np.maximum(p, 1e-300)))), CELLS).astype(np.int64)
-            cell = (np.floor(np.log2(np.maximum(cu, 0.5))).astype(np.int64) + 1) * 40_000 + q(cb / np.maximum(cu, 1)) * 200 + q(cw / max(1, total))
-            types_, at = np.unique(cell, return_inverse=True)
-            if len(types_):
-                yield pa.RecordBatch.from_arrays([pa.array(types_), pa.array(np.bincount(at, on[k]).astype(np.int64))], names=["cell", "n"])
-
-    cells = table_.mapInArrow(held, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    def held_out_cells(row: dict) -> pa.RecordBatch:
+        x = Block(row)
+        ut, uf, bt, bf = _answers(folder, row["block"])
+        on = np.bincount(x.pair[(x.rest == 1)[x.doc]], minlength=len(x.u))
+        k = np.nonzero(on)[0]
+        u, b = (ut - uf)[x.uat].astype(np.float64), (bt - bf)[x.bat].astype(np.float64)
+        cu, cw, cb = u[x.u[k]], u[x.w[k]], b[k]
+        q = lambda p: np.where(p > 0, np.minimum(CELLS - 1, np.round(-STEP * np.log2(np.maximum(p, 1e-300)))), CELLS).astype(np.int64)
+        cell = (np.floor(np.log2(np.maximum(cu, 0.5))).astype(np.int64) + 1) * 40_000 + q(cb / np.maximum(cu, 1)) * 200 + q(cw / max(1, total))
+        types_, at = np.unique(cell, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(types_), pa.array(np.bincount(at, on[k], len(types_)).astype(np.int64))], names=["cell", "n"])
+
+    cells = table_.mapInArrow(each(held_out_cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([(r[0] // 40_000, r[0] // 200 % 200, r[0] % 200, q0, r[1]) for r in cells])
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            x = Block(row)
-            ut, _, bt, _ = _answers(folder, row["block"])
-            u, b = ut[x.uat].astype(np.float64), bt[x.bat].astype(np.float64)
-            w = weights[np.floor(np.log2(np.maximum(u[x.u], 0.5))).astype(np.int64) + 1]
-            p = w[:, 0] * b / np.maximum(u[x.u], 1) + w[:, 1] * u[x.w] / total + w[:, 2] / (types + 1)
-            n = len(x.n)
-            of = lambda v: np.bincount(x.doc, v, n)
-            base = np.log10((u + 0.1) / (total + 0.1 * (types + 1)))
-            cols = [pa.array(x.ids, pa.int64()), pa.array(x.rest == 0), pa.array(x.n), pa.array(of((u > 0)[x.toks]).astype(np.int64)), pa.array(np.full(n, total)), pa.array(of(base[x.toks])), pa.array(of(np.log10(p)[x.pair]))]
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return table_.mapInArrow(final, schema)
+    def scored(row: dict) -> pa.RecordBatch:
+        x = Block(row)
+        ut, _, bt, _ = _answers(folder, row["block"])
+        u, b = ut[x.uat].astype(np.float64), bt[x.bat].astype(np.float64)
+        w = weights[np.floor(np.log2(np.maximum(u[x.u], 0.5))).astype(np.int64) + 1]
+        p = w[:, 0] * b / np.maximum(u[x.u], 1) + w[:, 1] * u[x.w] / total + w[:, 2] / (types + 1)
+        n = len(x.n)
+        of = lambda v: np.bincount(x.doc, v, n)
+        base = np.log10((u + 0.1) / (total + 0.1 * (types + 1)))
+        cols = [pa.array(x.ids, pa.int64()), pa.array(x.rest == 0), pa.array(x.n), pa.array(of((u > 0)[x.toks]).astype(np.int64)), pa.array(np.full(n, total)), pa.array(of(base[x.toks])), pa.array(of(np.log10(p)[x.pair]))]
+        return pa.RecordBatch.from_arrays(cols, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return table_.mapInArrow(each(scored), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
