@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import SPACES, table
+from rillgraph.llm.common import SPACES, cut, table
 
 NAME = "op2_mixing"
 LEVELS = ("domain", "lang", "source")
 #: Target weights by level and value; a value that is not named has DEFAULT.
 WEIGHTS = {"domain": {"dom0": 0.4, "dom1": 0.3, "dom2": 0.2, "dom3": 0.1}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "source": {}}
 DEFAULT, FRACTION, EPOCHS, SEED, HEX = 1.0, 0.6, 2, 42, 3
+#: Leaves are broadcast up to this many (about 200 bytes each), and shuffled beyond; AQE then splits a hot leaf.
+MOST_BROADCAST = 100_000
 #: The tables name no domain: it is the source's number modulo 4.
 DOMAIN = "concat('dom', coalesce(cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4 as string), 'x'))"
 
@@ -59,33 +61,36 @@ def mix(docs: DataFrame, weights: dict = WEIGHTS, fraction: float = FRACTION, ep
     of MD5(seed / epoch / id), and it gets the longest prefix of whole documents of that endless list whose words stay
     within its budget (documents without words come with the prefix). A document is repeated only in a later epoch.
 
-    A leaf may hold a third of all rows, so no leaf is sorted: its documents fall into 16^bucket_hex parts by the first
-    hex digits of the MD5, whose sums are running-summed; only parts at the boundary are ordered, 1 in 4096 documents of the
-    leaf. Repeated rows are ordered by text and each counts. Empty input or a zero budget gives no rows.
+    A leaf may hold a third of all rows, so no leaf is sorted or shuffled: its documents fall into 16^bucket_hex parts by the
+    first hex digits of the MD5, whose sums are running-summed; only the part at the boundary is ordered, 1 in 4096 documents
+    of the leaf. Documents meet the leaves' rows in a broadcast join (beyond MOST_BROADCAST leaves in a shuffled one). Repeated rows are ordered by text and each counts. Empty input or a zero budget gives no rows.
     """
     d = docs.withColumns({"domain": F.expr(domain), "n_tokens": F.coalesce(F.size(F.filter(F.split(F.col(text_col), SPACES), lambda w: w != "")), F.lit(0)).cast("long")})
     d = d.withColumn("n_tokens", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_tokens")))
     leaves = budgets(d.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("avail")), weights, fraction, epochs)
     leaves = leaves.withColumn("_full", F.least(F.lit(epochs), F.when(F.col("avail") > 0, F.expr("budget div avail")).otherwise(0)).cast("int")).withColumn("_rest", F.col("budget") - F.col("_full") * F.col("avail"))
 
-    def on(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
-        r = right.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-        return left.join(r, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)], how).drop(*[f"_j{i}" for i in range(len(keys))])
+    leaves = cut(leaves.select(*LEVELS, "budget", "_full", "_rest"), "leaves")
+    small = F.broadcast if leaves.count() <= MOST_BROADCAST else (lambda x: x)
 
-    d = on(d, leaves.select(*LEVELS, "budget", "_full", "_rest"), LEVELS)
+    def of_leaf(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        r = right.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(LEVELS)], *[c for c in right.columns if c not in LEVELS])
+        return left.join(small(r), [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(LEVELS)], how).drop(*[f"_j{i}" for i in range(len(LEVELS))])
+
+    d = of_leaf(d, leaves, "inner")
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), (F.col("_full") + 1).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
     d = d.withColumn("_k", key).withColumn("_part", F.substring("_k", 1, bucket_hex))
-    parts = d.groupBy(*LEVELS, "_part").agg(F.sum("n_tokens").alias("_t"), F.first("_rest").alias("_r"))
+    parts = d.where("_rest > 0").groupBy(*LEVELS, "_part").agg(F.sum("n_tokens").alias("_t"), F.first("_rest").alias("_r"))
     parts = parts.withColumn("_before", F.sum("_t").over(Window.partitionBy(*LEVELS).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t"))
-    parts = parts.select(*LEVELS, "_part", "_before", (F.col("_before") + F.col("_t") <= F.col("_r")).alias("_all"), (F.col("_before") > F.col("_r")).alias("_none"))
-    d = on(d, parts, [*LEVELS, "_part"])
-    edge = ~F.col("_all") & ~F.col("_none") & (F.col("_rest") > 0)
-    whole = d.where("_full >= 1").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_full"))))
-    inside = d.where("_all and _rest > 0")
-    order = Window.partitionBy(*LEVELS, "_part").orderBy("_k", F.xxhash64(F.col(text_col))).rowsBetween(Window.unboundedPreceding, 0)
-    some = d.where(edge).withColumn("_run", F.col("_before") + F.sum("n_tokens").over(order)).where("_run <= _rest").drop("_run")
-    last = [x.withColumn("epoch", F.col("_full") + 1) for x in (inside, some)]
-    return whole.unionByName(last[0]).unionByName(last[1]).drop("_full", "_rest", "_k", "_part", "_before", "_all", "_none")
+    # The sums only rise, so at most one part of a leaf has its budget's end inside: all before it are taken, none after it.
+    edges = cut(parts.where("_before <= _r and _before + _t > _r").select(*LEVELS, F.col("_part").alias("_edge"), "_before"), "edges")
+    d = of_leaf(d, edges, "left")
+    inside = (F.col("_rest") > 0) & (F.col("_edge").isNull() | (F.col("_part") < F.col("_edge")))
+    most = F.col("_full") + inside.cast("int")
+    whole = d.where(most >= 1).withColumn("epoch", F.explode(F.sequence(F.lit(1), most)))
+    order = Window.partitionBy(*LEVELS).orderBy("_k", F.xxhash64(F.col(text_col))).rowsBetween(Window.unboundedPreceding, 0)
+    some = d.where("_rest > 0 and _part = _edge").withColumn("_run", F.col("_before") + F.sum("n_tokens").over(order)).where("_run <= _rest").drop("_run")
+    return whole.unionByName(some.withColumn("epoch", F.col("_full") + 1)).drop("_full", "_rest", "_k", "_part", "_edge", "_before")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
