@@ -29,7 +29,7 @@ DEFAULT = (0.6, 0.3, 0.1)
 
 def planes(x: np.ndarray) -> bytes:
     """Bytes by significance, so that the shuffle's and Parquet's compression sees the zeros."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def unplanes(b: bytes, kind: type) -> np.ndarray:
