@@ -23,7 +23,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_follow_and_distinct(spark, tmp_path):
-    e = spark.createDataFrame([(0, 0, "a", "b"), (1, 5, "b", "c"), (2, 50, "b", "d"), (3, 51, "b", "d")], "edge_id long, s long, src string, dst string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    e = spark.createDataFrame([(0, 0, "a", "b"), (1, 5, "b", "c"), (2, 50, "b", "d"), (3, 51, "b", "d")], "edge_id long, s long, src string, dst string").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s")
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
     s = lambda: spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
     got = drain(stateful.follow(s(), s(), "dst", "src", 10), "follow")
