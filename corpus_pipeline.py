@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm import decontaminate, langid, mixing, sharding, simhash
+from rillgraph.llm import decontaminate, langid, mixing, neardup, sharding
 from rillgraph.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id (of rows that repeat it, the first by text)."""
-    groups = simhash.simhash_components(docs).where("component = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
+    """One document of each group of near copies (5-word Jaccard similarity of 0.8 or more): that with the smallest id (of rows that repeat it, the first by text)."""
+    groups = neardup.groups(docs.select(*COLUMNS)).groupBy("_component").agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
     once = docs.join(groups, docs["doc_id"] == groups["_keep"], "left_semi")
     return once.dropDuplicates(["doc_id"]).select(*COLUMNS)
 
