@@ -53,8 +53,13 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
 
     sample = drawn(slim, 0, total, want * per_range)
     cuts = sorted({sample[i * len(sample) // want] for i in range(1, want)}) if sample else []
-    for salt in range(1, 5):
-        stats = slim.withColumn("_sr", _range_of(F.col("_sk"), cuts)).groupBy("_sr").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("size").alias("top")).orderBy("_sr").collect()
+
+    def measured() -> list:
+        """Exact sums of the ranges between the present cuts."""
+        return slim.withColumn("_sr", _range_of(F.col("_sk"), cuts)).groupBy("_sr").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.max("size").alias("top")).orderBy("_sr").collect()
+
+    stats = measured()
+    for salt in range(1, 5):  # a key that repeats can't be parted: its range stays over
         over = [r["_sr"] for r in stats if r["b"] > 2 * due + r["top"] and r["n"] > 1]
         room = MOST_RANGES - len(cuts) - 1
         if not over or room <= 0:
@@ -67,10 +72,13 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         if grown == cuts:
             break
         cuts = grown
+        stats = measured()
     spark, at, ranges = docs.sparkSession, [0, 0], []
     for r in stats:
         ranges.append((r["_sr"], *at, r["b"]))
         at = [at[0] + r["b"], at[1] + r["n"]]
+    if at != [total, rows]:
+        raise RuntimeError(f"ranges hold {at} bytes and rows of {[total, rows]}")
     pre = spark.createDataFrame(ranges, "_sr int, _sb long, _sn long, _sw long")
     inside = Window.partitionBy("_sr").orderBy("_sk").rowsBetween(Window.unboundedPreceding, 0)
 

@@ -1,0 +1,15 @@
+"""Sharding of a table in which one row repeats."""
+
+from rillgraph.llm import sharding
+
+
+def test_row_that_repeats_for_a_third_of_the_table(spark):
+    rows = [(i, f"text {i}") for i in range(4000)] + [(None, "the same row")] * 2000
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40, per_range=1, seed=8).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    sizes = [sum(r["size"] for r in b) for b in by.values()]
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted((i or -1, t) for i, t in rows)
+    assert sorted(by) == list(range(40)) and all(sorted(r.slot for r in b) == list(range(len(b))) for b in by.values())
+    assert max(sizes) - min(sizes) < 2 * max(r["size"] for r in got)
