@@ -22,10 +22,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard similarity of 0.8 or more): that with the smallest id (of rows that repeat it, the first by text)."""
-    groups = neardup.groups(docs.select(*COLUMNS)).groupBy("_component").agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
-    once = docs.join(groups, docs["doc_id"] == groups["_keep"], "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near copies (5-word Jaccard similarity of 0.8 or more): that with the smallest id, null ids
+    last; of rows that share it, that with the smallest MD5 of the text."""
+    rows = neardup.groups(docs.select(*COLUMNS))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("binary")), F.xxhash64(*COLUMNS), "_row")
+    keep = rows.groupBy("_component").agg(F.min(order).alias("_least")).select("_least._row")
+    return rows.join(keep, "_row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,11 @@ def test_near_dedup_in_stars(spark, monkeypatch):
     texts = _near_copies(4, 12)
     df = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(_classes(texts)))
+
+
+def test_near_dedup_keeps_a_row_of_every_group(spark):
+    clean = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"]
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (8, clean[3]), (None, clean[4]), (9, clean[4]), (8, clean[5])]
+    df = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in rows], SCHEMA)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert got == {(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (9, clean[4]), (8, clean[5])}
