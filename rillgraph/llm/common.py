@@ -17,16 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one of this machine is set,
+    but only if driver and executors are one process; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rillgraph-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders of this process that are not removed yet.
+_WRITTEN: list[str] = []
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -38,13 +47,26 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table that cut() wrote and that no later plan reads."""
-    path = getattr(df, "_rillgraph_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that cut() wrote and that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_rillgraph_path", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Remove what the operators wrote to the shared folder after the first `since` folders. Results are lazy and read some of
+    those tables: call it when they are consumed or written elsewhere."""
+    for path in _WRITTEN[since:]:
+        _remove(spark, path)
 
 
 def lower_ascii(text):
