@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillgraph.functions.columns import private
 from rillgraph.llm.common import table
 
 NAME = "op1_langid"
-#: The model is fitted on at most SAMPLE labelled documents, of each at most SAMPLE_CHARS characters (seeded choice).
-SAMPLE, SAMPLE_CHARS = 1600, 1500
+#: The model is fitted on a seeded sample of at most SAMPLE labelled documents, whole, with at most SAMPLE_CHARS characters in
+#: all. Languages share both evenly, but each may have LEAST documents.
+SAMPLE, SAMPLE_CHARS, LEAST = 1600, 2_400_000, 20
 SPAN, EPOCHS, RATE, DECAY, SEED = 64, 6, 0.15, 1e-5, 11
+#: Hash bits of features, longest n-gram, and words in a label's lexicon (its most frequent ones in the sample).
 BITS, GRAMS, LEXICON = 17, 5, 400
 #: Words whose emissions a worker remembers (memory only).
 MEMORY = 400_000
@@ -51,12 +54,13 @@ class Features:
 
 
 def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, float]:
-    """(word posteriors, expected transitions, log partition less the words' own maxima) of sequences in falling length.
+    """(word posteriors, expected transitions, log partition) of sequences in falling length; the last two if `pairs`.
 
     e: scores (T, B, K); trans: transition scores (K, K). Each step is scaled, so no length over- or underflows.
     """
     T, B, K = e.shape
-    x = np.exp(e - e.max(axis=2, keepdims=True))
+    top = e.max(axis=2, keepdims=True)
+    x = np.exp(e - top)
     move = np.exp(trans)
     live = np.searchsorted(-lengths, -np.arange(T), side="left")  # sequences longer than t
     a, scale = np.zeros_like(x), 0.0
@@ -66,20 +70,22 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pair
         s = v.sum(axis=1, keepdims=True)
         a[t, :n] = v / s
         if pairs:
-            scale += float(np.log(s).sum())
+            scale += float(np.log(s).sum() + top[t, :n].sum())
+    after = None  # emissions of the next step: x takes the posteriors
     b = np.zeros((B, K), x.dtype)
     total = np.zeros((K, K)) if pairs else None
     for t in range(T - 1, -1, -1):
         n, later = live[t], live[t + 1] if t + 1 < T else 0
         b[later:n] = 1
         if later:
-            y = x[t + 1, :later] * b[:later]
+            y = after[:later] * b[:later]
             if pairs:
                 joint = a[t, :later, :, None] * move[None] * y[:, None, :]
                 total += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             y = y @ move.T
             b[:later] = y / y.sum(axis=1, keepdims=True)
         g = a[t, :n] * b[:n]
+        after = x[t].copy()
         x[t, :n] = g / g.sum(axis=1, keepdims=True)
         x[t, n:] = 0
     return x, total, scale
@@ -113,8 +119,8 @@ class Model:
 def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model | None:
     """A model of (text, label) rows by AdaGrad on the conditional likelihood; None without labels.
 
-    Every word has its document's label. Every other training sequence joins spans of two documents, so that the transitions
-    learn switches inside a text; a span is SPAN words at most.
+    Texts are used whole, in spans of SPAN words at most; every word has its document's label. Every other training sequence
+    joins halves of two spans, so that the transitions learn switches inside a text.
     """
     labels = sorted({y for _, y in rows})
     if not labels:
@@ -123,7 +129,7 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model | None:
     docs = []
     for text, y in rows:
         toks = [w for w in map(letters, text.lower().split()) if w]
-        docs += [(toks[i : i + SPAN], labels.index(y)) for i in range(0, min(len(toks), 4 * SPAN), SPAN)]
+        docs += [(toks[i : i + SPAN], labels.index(y)) for i in range(0, len(toks), SPAN)]
     if not docs:
         return m
     seen = [Counter() for _ in labels]
@@ -258,13 +264,17 @@ _TAGGER: list = [None, None]
 def identify(docs: DataFrame, model: Model | None, columns: list[str], text_col: str = "text", words: bool = False) -> DataFrame:
     """`columns` of docs with lang_pred and score, and with `word_langs` (the label of each white-space token) if asked for.
 
-    lang_pred is the label with most posterior mass over the text's words (tokens with a letter), score its share; `und`
-    and 0 where the text is null or has no letter, or no label was learned. Every text is read whole, in batches bounded by
-    Arrow; rows repeat as they come; an empty table gives no rows.
+    lang_pred is the label with most posterior mass over the text's words (tokens with a letter), score its share (of equal
+    labels the first by name); `und` and 0 where the text is null or has no letter, or no label was learned. Every text is
+    read whole, in batches bounded by Arrow. Rows that repeat stay and get equal answers; an empty table gives no rows.
+    `columns` may not hold lang_pred, score or word_langs (ValueError); any other name, `_text` too, is free.
     """
-    d = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias("_text"))
+    if {c.lower() for c in columns} & {"lang_pred", "score", "word_langs"}:
+        raise ValueError("columns that are made here can't be carried along")
+    text = private(docs, "text")[0]
+    d = docs.select(*[F.col(c) for c in columns], F.col(text_col).alias(text))
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2^BITS features and LEXICON words a label
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_text") + ", lang_pred string, score double" + ", word_langs array<string>" * words
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != text), "lang_pred string, score double", *["word_langs array<string>"] * words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -274,7 +284,7 @@ def identify(docs: DataFrame, model: Model | None, columns: list[str], text_col:
         for b in batches:
             rows: list = []
             for at in range(0, b.num_rows, 2000):
-                texts = [t or "" for t in b.column("_text").slice(at, 2000).to_pylist()]
+                texts = [t or "" for t in b.column(text).slice(at, 2000).to_pylist()]
                 rows += tag(texts, words) if tag else [(-1, 0.0, None)] * len(texts)
             cols = [b.column(c) for c in columns] + [pa.array([names[y] for y, _, _ in rows], pa.string()), pa.array([s for _, s, _ in rows], pa.float64())]
             if words:
@@ -284,10 +294,32 @@ def identify(docs: DataFrame, model: Model | None, columns: list[str], text_col:
     return d.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model of at most `sample` documents whose crc32(id) mod 3 is not 1 and whose language is known, the same on each run."""
-    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.xxhash64(F.lit(SEED), F.col(id_col)).alias("k"), F.col(lang_col).alias("y"), F.substring(text_col, 1, SAMPLE_CHARS).alias("t"))
-    return train([(r["t"], r["y"]) for r in d.orderBy("k", "t", "y").limit(sample).collect()])
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model | None:
+    """A model of a bounded sample of the documents whose crc32(id) mod 3 is not 1 and whose text and language are known, the
+    same on each run; None if there are none.
+
+    Each language's documents are drawn by a seeded hash below a bound that follows from its count, so tasks send a few
+    numbers of about the sample's size, and no rare language is left out. The texts of those chosen come in a second scan.
+    Repeated rows count once.
+    """
+    k = F.xxhash64(F.lit(SEED), F.col(id_col), F.col(text_col))
+    d = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+    sizes = {r["y"]: r["n"] for r in d.groupBy(F.col(lang_col).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not sizes:
+        return None
+    quota = max(LEAST, sample // len(sizes))
+    bound = F.create_map(*[F.lit(v) for y, n in sizes.items() for v in (y, min(1.0, (quota + 4 * quota**0.5) / n))])
+    small = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1 << 52)) / float(1 << 52) <= F.element_at(bound, F.col(lang_col))
+    drawn = d.where(small).groupBy(F.col(lang_col).alias("y"), k.alias("k")).agg(F.max(F.char_length(text_col)).alias("c")).collect()
+    chosen: list[int] = []
+    for y in sorted(sizes):
+        room, mine = chars // len(sizes), 0
+        for r in sorted((r for r in drawn if r["y"] == y), key=lambda r: r["k"]):
+            if mine < quota and r["c"] <= room:
+                room, mine = room - r["c"], mine + 1
+                chosen.append(r["k"])
+    rows = d.where(small & k.isin(chosen)).groupBy(F.col(lang_col).alias("y"), k.alias("k")).agg(F.min(text_col).alias("t")).collect() if chosen else []
+    return train([(r["t"], r["y"]) for r in sorted(rows, key=lambda r: (r["k"], r["y"]))])
 
 
 def held_out(id_col: str = "doc_id"):
