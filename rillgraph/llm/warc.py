@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -22,6 +23,8 @@ DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: The dictionary is fitted on at most SAMPLE pages' first SAMPLE_CHARS characters. It is no part of any result.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 512, 4096, 32_768
 ARCHIVE_BYTES, LEAST_REVISIT = 8 << 20, 100
+#: Repeated digests are broadcast up to this many (about 100 bytes each).
+MOST_BROADCAST = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -135,13 +138,26 @@ def read_archive(buf: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
 def dedupe(pages: DataFrame, least: int = LEAST_REVISIT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, html, digest, refers_to): of equal payloads of at least `least` bytes all but the smallest id refer to it.
 
-    Only digests that occur twice are joined, by their minimum, so a payload that a third of all pages share is pre-aggregated
-    and its join partition is split by AQE. Rows with a null id never refer and are never referred to.
+    A first scan sends digests only, pre-aggregated, and keeps those that occur twice (a written table). Pages meet them where
+    they lie, by a broadcast of at most MOST_BROADCAST digests; beyond, both sides are shuffled, and AQE splits a payload that
+    a third of all pages share. Rows with a null id never refer and are never referred to.
     """
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
     firsts = p.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    return p.join(firsts, "digest", "left").select("id", "url", "html", "digest", F.when(F.col("id") > F.col("first"), F.col("first")).alias("refers_to"))
+    firsts = cut(firsts, "repeated")
+    small = F.broadcast if firsts.count() <= MOST_BROADCAST else (lambda x: x)
+    return p.join(small(firsts), "digest", "left").select("id", "url", "html", "digest", F.when(F.col("id") > F.col("first"), F.col("first")).alias("refers_to"))
+
+
+def dictionary(pages: DataFrame) -> bytes:
+    """A dictionary of a seeded sample of at most SAMPLE pages: a hash below a bound that follows from their number, so tasks
+    send about that many rows in all, however large the input; equal rows count once."""
+    n = pages.count()
+    k = F.xxhash64("page_id", "url")
+    drawn = pages.where(F.pmod(k, F.lit(1 << 40)) <= int((1 << 40) * min(1.0, 2 * SAMPLE / max(1, n))))
+    rows = drawn.groupBy(k.alias("k")).agg(F.min(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS)).alias("s")).orderBy("k").limit(SAMPLE).collect()
+    return train([r["s"].encode("utf-8", "surrogatepass") for r in rows if r["s"]])
 
 
 def write(pages: DataFrame, folder: str | None = None, level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -152,21 +168,18 @@ def write(pages: DataFrame, folder: str | None = None, level: int = 3, archive_b
     """
     spark = pages.sparkSession
     folder = blobs.make_dir(folder or fresh_dir(spark, "warc"))
-    ready = dedupe(pages)
-    rows = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_CHARS).alias("s"), F.xxhash64("page_id", "url").alias("k")).orderBy("k", "s").limit(SAMPLE).collect()
-    dic = train([r["s"].encode("utf-8", "surrogatepass") for r in rows if r["s"]])
+    ready, dic = dedupe(pages), dictionary(pages)
+    packed = zstandard.ZstdCompressor(level=19).compress(dic) if dic else b""
+    lead = struct.pack("<II", DICT_MAGIC, len(packed)) + packed if dic else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dic) if dic else None, write_content_size=True)
-        lead = zstandard.ZstdCompressor(level=19).compress(dic) if dic else b""
-        out, n = None, 0
+        z, out, n = _compressor(dic, level), None, 0
         for b in batches:
             for i in range(b.num_rows):
                 page, url, html, digest, refers = (b.column(j)[i].as_py() for j in range(5))
                 if out is None:
                     out, n = blobs.Writer(folder, "part", ".warc.zst"), 0
-                    if dic:
-                        out.write(struct.pack("<II", DICT_MAGIC, len(lead)) + lead)
+                    out.write(lead)
                 out.write(z.compress(record("response" if refers is None else "revisit", page, url, html.encode("utf-8", "surrogatepass"), refers, digest)))
                 n += 1
                 if out.size >= archive_bytes:
@@ -178,6 +191,16 @@ def write(pages: DataFrame, folder: str | None = None, level: int = 3, archive_b
     return cut(ready.mapInArrow(run, "archive string, records long"), "warc-manifest")
 
 
+@functools.lru_cache(maxsize=1)
+def _compressor(dic: bytes, level: int) -> zstandard.ZstdCompressor:
+    """One for each Python worker: the dictionary's tables are built once."""
+    if not dic:
+        return zstandard.ZstdCompressor(level=level, write_content_size=True)
+    held = zstandard.ZstdCompressionDict(dic)
+    held.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=True)
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of all records of the manifest's
     archives; payload is null for revisits. A broken archive, or one with another number of records, raises WarcError."""
