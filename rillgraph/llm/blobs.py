@@ -48,3 +48,15 @@ def read(uri: str) -> bytes:
     f, path = filesystem(uri)
     with f.open_input_stream(path) as s:
         return s.read()
+
+
+def rename(source: str, target: str) -> None:
+    """Give a file its final name. Where that exists (an earlier attempt wrote the same bytes) this copy is removed."""
+    f, a = filesystem(source)
+    b = filesystem(target)[1]
+    try:
+        f.move(a, b)
+    except OSError:
+        if f.get_file_info(b).type != fs.FileType.File:
+            raise
+        f.delete_file(a)

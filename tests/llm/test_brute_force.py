@@ -2,12 +2,11 @@
 
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
 
-from rillgraph.llm import chat, decontaminate, embeddings, lm, mixing, sharding, simhash, tokens, warc
+from rillgraph.llm import chat, decontaminate, embeddings, mixing, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, size int"
 
@@ -79,29 +78,6 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (100, 101, 102, 103))
 
 
-@pytest.mark.parametrize("ids", [[], [5], [0, 2**32 - 1] * 200, list(range(1000)), [7] * 300])
-def test_token_blocks_round_trip(ids):
-    a = np.array(ids, np.uint32)
-    buf = tokens.encode_file([1], np.array([len(a)], np.uint64), a)
-    _, _, starts = tokens.decode_index(buf)
-    assert (tokens.unpack_all(buf, starts) == a).all()
-    assert (np.concatenate([a[:0], *[tokens.unpack_block(buf, int(s)) for s in starts]]) == a).all()
-
-
-def test_tokens_match_the_library(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    df, rows = _docs(spark, 20)
-    tok, start = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), 0
-    got = tokens.read(tokens.write(df, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)).orderBy("start").collect()
-    assert len(got) == len(rows)
-    for r, (i, t, *_) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
-        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
-
-
 def test_warc(spark):
     page = "x" * 200
     rows = [(1, "u", page), (2, "u", page), (3, None, "short"), (4, "u", "short"), (5, "u", None)]
@@ -136,16 +112,6 @@ def test_chat_paths(spark):
     assert sorted(map(tuple, chat.paths(df, 2).select("tree", "leaf", "rank", "depth", "msg").collect())) == sorted(want)
 
 
-def test_sharding(spark):
-    df, rows = _docs(spark)
-    got = sharding.shard(df, 4).collect()
-    by = [[r for r in got if r.shard == s] for s in range(4)]
-    sizes = [sum(r["size"] for r in b) for b in by]
-    assert len(got) == len(rows) and all(sorted(r.slot for r in b) == list(range(len(b))) for b in by)
-    assert max(sizes) - min(sizes) < 2 * max(r["size"] for r in got)
-    assert sharding.shard(df.limit(0), 4).count() == 0
-
-
 def test_mixing(spark):
     df, rows = _docs(spark)
     got = mixing.mix(df, fraction=0.5).collect()
@@ -157,18 +123,3 @@ def test_mixing(spark):
         k = (r.domain, r.lang, r.source)
         spent[k] = (spent.get(k, (0, 0))[0] + r.n_tokens, r.budget)
     assert got and all(s <= b for s, b in spent.values()) and mixing.mix(df.limit(0)).count() == 0
-
-
-def test_lm_base(spark):
-    import math
-    from collections import Counter
-
-    df, rows = _docs(spark, 30)
-    toks = [(i, [*(t or "").lower().split(), None]) for i, t, *_ in rows]
-    c = Counter(x for i, w in toks if zlib.crc32(str(i).encode()) % 10 for x in w)
-    n, v, want = sum(c.values()), len(c), {}
-    for i, w in toks:
-        want[i] = (len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-    for r in lm.score(df).collect():
-        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.base_score == pytest.approx(want[r.doc_id][3])
-        assert math.isfinite(r.score) and r.score < 0
