@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from rillgraph.llm import chat, decontaminate, embeddings, mixing, simhash, warc
+from rillgraph.llm import chat, decontaminate, embeddings, simhash, warc
 
 DOCS = "doc_id long, text string, lang string, source string, size int"
 
@@ -110,16 +110,3 @@ def test_chat_paths(spark):
         want += [(t, leaf, k, d, x) for k, (_, leaf, path) in enumerate(sorted(found)[:2], 1) for d, x in enumerate(reversed(path), 1)]
     df = spark.createDataFrame(rows, "tree string, msg long, parent long, role string, text string, score double")
     assert sorted(map(tuple, chat.paths(df, 2).select("tree", "leaf", "rank", "depth", "msg").collect())) == sorted(want)
-
-
-def test_mixing(spark):
-    df, rows = _docs(spark)
-    got = mixing.mix(df, fraction=0.5).collect()
-    avail = {}
-    for i, t, *_ in rows:
-        avail[i] = len((t or "").split())
-    spent = {}
-    for r in got:
-        k = (r.domain, r.lang, r.source)
-        spent[k] = (spent.get(k, (0, 0))[0] + r.n_tokens, r.budget)
-    assert got and all(s <= b for s, b in spent.values()) and mixing.mix(df.limit(0)).count() == 0
