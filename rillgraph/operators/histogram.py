@@ -1,7 +1,8 @@
 """Exponential histograms in closed form.
 
-The structure merges by counts only, so after n rows it is an exact sum of the last m(n) rows, and the first row that it
-still holds moves in steps of 2^L. Everything is a running sum and its value at the last such step: one window, no join.
+The structure merges by counts only, so after n rows it is an exact aggregate of the last m(n) rows, and the first row that it
+still holds moves in steps of 2^L: it always begins a block of 2^L rows. The value of a row is therefore that of its own block so
+far and of the few whole blocks before it: sums begin anew in each block, so no early value disturbs a later one.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillgraph.operators.windows import ORDER, key_window
+from rillgraph.functions.columns import private
+from rillgraph.operators.windows import ORDER, key_window, merged_deviation
 
 MOST = 10_000_000
 
@@ -37,31 +39,31 @@ def held(rows: int, n: int, k: int = 2) -> int:
 def features(df: DataFrame, value: Column | str, n: int, k: int, keys: Sequence[str], names: dict[str, str], order: Sequence[str] = ORDER) -> DataFrame:
     """df with the features in names (op in sum, ave, var -> column name). Null values count as 0; var is of the population.
 
-    For var, values are centred by the key's first value, which leaves it unchanged and spares the running sums most of the
-    cancellation.
+    Running sums (and Welford's squared deviations) inside a block, and the totals of at most capacity / 2^L blocks before
+    it, each carried along the key by one window function: a row costs the same whatever n.
     """
     levels, capacity = shape(n, k)
-    step, c = 1 << levels, F.coalesce((F.col(value) if isinstance(value, str) else value).cast("double"), F.lit(0.0))
-    w = key_window(keys, order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    gone = w.rowsBetween(Window.unboundedPreceding, -(capacity - step + 1))
-    d = df.withColumns({"_v": c, "_n": F.row_number().over(w)})
-    d = d.withColumn("_x", F.col("_v") - F.first("_v").over(upto)) if "var" in names else d
-
-    def total(of: Column, at: str) -> None:
-        nonlocal d
-        d = d.withColumn(f"_p{at}", F.sum(of).over(upto))
-        d = d.withColumn(f"_s{at}", F.col(f"_p{at}") - F.coalesce(F.last(F.when(F.col("_n") % step == 0, F.col(f"_p{at}")), ignorenulls=True).over(gone), F.lit(0.0)))
-
-    total(F.col("_v"), "1")
-    d = d.withColumn("_m", F.when(F.col("_n") <= capacity, F.col("_n")).otherwise(F.col("_n") - step * (F.floor((F.col("_n") - capacity - 1) / step) + 1)))
-    if "var" in names:
-        total(F.col("_x"), "x")
-        total(F.col("_x") * F.col("_x"), "2")
-    made = {
-        "sum": lambda: F.col("_s1"),
-        "ave": lambda: F.col("_s1") / F.col("_m"),
-        "var": lambda: F.greatest(F.lit(0.0), F.col("_s2") / F.col("_m") - (F.col("_sx") / F.col("_m")) * (F.col("_sx") / F.col("_m"))),
-    }
-    d = d.withColumns({name: made[op]() for op, name in names.items()})
-    return d.drop("_v", "_n", "_m", "_x", *[f"_{a}{b}" for a in "ps" for b in "1x2"])
+    step = 1 << levels
+    blocks = (capacity - 1) // step
+    v, i, b, m = private(df, "value", "row", "block", "held")
+    s, q = ([f"{x}_{j}" for j in range(blocks + 1)] for x in private(df, "sums", "squares"))
+    w, var = key_window(keys, order), "var" in names
+    d = df.withColumns({v: F.coalesce((F.col(value) if isinstance(value, str) else value).cast("double"), F.lit(0.0)), i: F.row_number().over(w)})
+    row = F.col(i)
+    d = d.withColumn(b, F.floor((row - 1) / step).cast("long"))
+    inside = Window.partitionBy(*(keys or [F.lit(0)]), b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({s[0]: F.sum(v).over(inside)} | ({q[0]: F.var_pop(v).over(inside) * (row - F.col(b) * step)} if var else {}))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    for j in range(1, blocks + 1):  # what the last row of the block before had: its total, then the totals further back
+        d = d.withColumns({x[j]: F.last(F.when(row % step == 0, F.col(x[j - 1])), ignorenulls=True).over(before) for x in ((s, q) if var else (s,))})
+    d = d.withColumn(m, F.when(row <= capacity, row).otherwise(row - step * (F.floor((row - capacity - 1) / step) + 1)))
+    back = F.floor((F.col(m) - 1) / step)  # whole blocks that are held besides the row's own
+    total = F.col(s[0])
+    for j in range(1, blocks + 1):
+        total = total + F.when(back >= j, F.col(s[j])).otherwise(0.0)
+    made = {"sum": total, "ave": total / F.col(m)}
+    if var:
+        parts = [((row - F.col(b) * step), F.col(s[0]), F.col(q[0]))] + [(F.when(back >= j, F.lit(step)).otherwise(0), F.when(back >= j, F.col(s[j])).otherwise(0.0), F.when(back >= j, F.col(q[j])).otherwise(0.0)) for j in range(1, blocks + 1)]
+        made["var"] = merged_deviation(parts) / F.col(m)
+    out = df.columns
+    return d.withColumns({name: made[op] for op, name in names.items()}).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*out, *names.values()])])

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rillgraph.functions.columns import private
+
 ORDER = ("ts", "edge_id")
 
 
@@ -43,12 +45,78 @@ def register_operator(name: str, fn: Callable[[Column, WindowSpec], Column]) ->
     EXACT[name] = fn
 
 
+#: Windows of more rows are computed from blocks, at a cost for each row that doesn't depend on n; smaller ones by frames.
+FRAME = 32
+BLOCKWISE = ("sum", "simplesum", "ave", "var", "stddev", "max", "min", "count", "l2norm", "countdistinct")
+
+
 def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
-    """df with feature `name`. Equal (keys, order) share one exchange and sort, whatever n."""
+    """df with feature `name`. Equal (keys, order) share one exchange, whatever n. Nulls are left out, as in Spark's aggregates."""
     c = F.col(value) if isinstance(value, str) else value
+    if n > FRAME and op in BLOCKWISE:
+        return (_distinct if op == "countdistinct" else _blockwise)(df, name, op, c, n, keys, order)
     return df.withColumn(name, EXACT[op](c, last_rows(n, keys, order)))
 
 
+def merged_deviation(parts: list[tuple[Column, Column, Column]]) -> Column:
+    """Sum of squared deviations from the common mean, of parts (rows, sum, sum of squared deviations from their own mean)."""
+    rows = [p[0] for p in parts]
+    mean = sum((p[1] for p in parts[1:]), parts[0][1]) / F.nullif(sum(rows[1:], rows[0]), F.lit(0))
+    each = [F.when(k > 0, q + k * (s / k - mean) * (s / k - mean)).otherwise(0.0) for k, s, q in parts]
+    return sum(each[1:], each[0])
+
+
+def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Blocks of n rows of a key: a window is the end of one block and the beginning of the next. Both are running aggregates
+    inside the block, forwards and backwards, so nothing is subtracted and nothing is computed twice."""
+    v, i, b = private(df, "value", "row", "block")
+    ks = list(keys) or [F.lit(0)]
+    w = key_window(keys, order)
+    d = df.withColumns({v: c * c if op == "l2norm" else c, i: F.row_number().over(w) - 1})
+    d = d.withColumn(b, F.floor(F.col(i) / n))
+    there = Window.partitionBy(*ks, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*ks, b).orderBy(*[F.desc(x) for x in order]).rowsBetween(Window.unboundedPreceding, 0)
+    of = {"max": [F.max], "min": [F.min], "count": [F.count], "ave": [F.count, F.sum], "var": [F.count, F.sum, F.var_pop], "stddev": [F.count, F.sum, F.var_pop]}.get(op, [F.sum])
+    head, tail = ([f"{x}_{j}" for j in range(len(of))] for x in private(df, "head", "tail"))
+    d = d.withColumns({x: f(F.col(v)).over(there) for x, f in zip(head, of, strict=True)})
+    d = d.withColumns({x: f(F.col(v)).over(back) for x, f in zip(tail, of, strict=True)})
+    whole = F.col(i) % n == n - 1  # the window is the row's own block
+    d = d.withColumns({x: F.when(~whole, F.lag(x, n - 1).over(w)) for x in tail})
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    total = lambda j: F.when(F.col(head[j]).isNotNull() | F.col(tail[j]).isNotNull(), zero(head[j]) + zero(tail[j]))
+    if op in ("max", "min"):
+        out = (F.greatest if op == "max" else F.least)(head[0], tail[0])  # both skip nulls
+    elif op == "ave":
+        out = F.when(total(0) > 0, total(1) / total(0))
+    elif op in ("var", "stddev"):
+        parts = [(zero(x[0]), zero(x[1]), zero(x[2]) * zero(x[0])) for x in (head, tail)]
+        out = F.when(total(0) > 0, merged_deviation(parts) / total(0))
+        out = F.sqrt(out) if op == "stddev" else out
+    else:
+        out = F.sqrt(total(0)) if op == "l2norm" else total(0)
+    return d.withColumn(name, out).select(*_kept(df, name))
+
+
+def _distinct(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Running sum of changes: a value enters with a row unless it occurs in the n - 1 rows before, and leaves with the row n
+    before unless it occurs in the n - 1 rows after that."""
+    v, i, p, q, on, off = private(df, "value", "row", "before", "after", "enters", "leaves")
+    ks = list(keys) or [F.lit(0)]
+    w = key_window(keys, order)
+    d = df.withColumns({v: c, i: F.row_number().over(w)})
+    same = Window.partitionBy(*ks, v).orderBy(i)
+    d = d.withColumns({p: F.lag(i).over(same), q: F.lead(i).over(same)})
+    some, row = F.col(v).isNotNull(), F.col(i)
+    d = d.withColumns({on: (some & (F.col(p).isNull() | (F.col(p) <= row - n))).cast("long"), off: (some & (F.col(q).isNull() | (F.col(q) >= row + n))).cast("long")})
+    by_row = Window.partitionBy(*ks).orderBy(i)
+    d = d.withColumn(off, F.coalesce(F.lag(off, n).over(by_row), F.lit(0)))
+    return d.withColumn(name, F.sum(F.col(on) - F.col(off)).over(by_row.rowsBetween(Window.unboundedPreceding, 0))).select(*_kept(df, name))
+
+
+def _kept(df: DataFrame, name: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, name])]
+
+
 def quantile(df: DataFrame, name: str, value: str, q: float, n: int, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
     return df.withColumn(name, F.percentile(F.col(value), F.lit(q)).over(last_rows(n, keys, order)))
 

@@ -110,3 +110,40 @@ def test_empty_and_null(spark):
     none = d.where("false")
     for out in (histogram.features(none, "v", 10, 2, ["key"], {"sum": "s"}), topk.topk(none, "t", "v", 10, 5, 1, ["key"]), sequential.rotating_distinct(none, "c", "v", 10, ["key"])):
         assert out.count() == 0
+
+
+def test_histogram_after_large_values(spark):
+    """A later sum doesn't depend on what has left the window."""
+    x = [1e15] * 40 + [0.1 * (i % 7) for i in range(400)]
+    got = histogram.features(rows(spark, x), "v", 20, 2, ["key"], {"sum": "s", "ave": "a", "var": "q"}).orderBy("edge_id").select("s", "a", "q").collect()
+    for i, (s, a, q) in list(enumerate(got))[100:]:
+        w = x[i + 1 - histogram.held(i + 1, 20) : i + 1]
+        m = sum(w) / len(w)
+        assert (s, a, q) == (pytest.approx(sum(w), rel=1e-12), pytest.approx(m, rel=1e-12), pytest.approx(sum((y - m) ** 2 for y in w) / len(w), rel=1e-9))
+
+
+def test_histogram_keeps_all_columns(spark):
+    d = rows(spark, [1.0, 2.0])
+    for c in ("_n", "_v", "_m", "_x", "__row", "__block", "__value"):
+        d = d.withColumn(c, F.lit("mine"))
+    got = histogram.features(d, "v", 10, 2, [], {"var": "q"})
+    assert got.columns == [*d.columns, "q"] and all(r["_n"] == r["_x"] == r["__row"] == "mine" for r in got.collect())
+
+
+@pytest.mark.parametrize("op", windows.BLOCKWISE)
+@pytest.mark.parametrize("n", [33, 50])
+def test_blocks_equal_frames(spark, op, n):
+    x = [None if i % 11 == 3 or 60 < i < 120 else float((i * i * 7) % 29) for i in range(260)]
+    d = rows(spark, x).withColumn("key", F.when(F.col("edge_id") % 3 == 0, "b").otherwise("a")).withColumn("__row", F.lit(1))
+    want = d.withColumn("f", windows.EXACT[op](F.col("v"), windows.last_rows(n, ["key"])))
+    got = windows.exact(d, "f", op, "v", n, ["key"])
+    assert got.columns == want.columns
+    for a, b in zip(col(got, "f"), col(want, "f"), strict=True):
+        assert a == b if b is None or op in ("count", "countdistinct") else a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    assert windows.exact(d.limit(0), "f", op, "v", n, ["key"]).count() == 0
+
+
+def test_wide_windows_after_large_values(spark):
+    x = [1e16] * 60 + [0.25] * 200
+    for op, want in (("sum", 12.5), ("ave", 0.25), ("var", 0.0)):
+        assert col(windows.exact(rows(spark, x), "f", op, "v", 50, ["key"]), "f")[-1] == want
