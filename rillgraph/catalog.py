@@ -81,7 +81,11 @@ def count_distinct_exact(spark, d):
     return windows.exact(e, "distinct_k", "countdistinct", "k", N, KEY).select("edge_id", "distinct_types", "distinct_k")
 
 
-@query()
+@query(f"""with recursive e as ({E}), p as (select user_id, edge_id, k, row_number() over {WK} as n from e),
+r as (select user_id, n, edge_id, [{{'v': k, 's': 0}}] as held from p where n = 1
+  union all select p.user_id, p.n, p.edge_id, case when list_contains(list_transform(kept, lambda x: x.v), p.k) then kept else list_append(kept, {{'v': p.k, 's': cast(((p.n - 1) // {N // 5}) % 5 as integer)}}) end
+  from (select user_id, n, case when n % {N // 5} = 0 then list_filter(held, lambda x: x.s <> (n // {N // 5}) % 5) else held end as kept from r) r join p on p.user_id = r.user_id and p.n = r.n + 1)
+select edge_id, len(held)::bigint as distinct_k from r""")
 def count_distinct_rotating(spark, d):
     return sequential.rotating_distinct(events(spark, d).select("edge_id", "ts", "user_id", "k"), "distinct_k", "k", N, KEY).select("edge_id", "distinct_k")
 
@@ -109,6 +113,55 @@ def eh_features(spark, d):
     return e.select("edge_id", *[r(c).alias(c) for c in ("eh_sum", "eh_ave", "eh_var")])
 
 
+TYPE = ["event_type"]
+WT = "(partition by event_type order by ts, edge_id rows between {} preceding and current row)"
+#: The default window, which fills at sf0.1, and one that fills at sf0.01.
+DEFAULT_N, WIDE_N = 10_000, 500
+
+
+def _wide_sql(n: int) -> str:
+    return f"with e as ({E}) select edge_id, round(sum(value) over w + 1e-7, 3) as sum_value, round(avg(value) over w + 1e-7, 4) as ave_value, round(var_pop(value) over w + 1e-7, 3) as var_value, max(value) over w as max_value, min(value) over w as min_value, count(distinct user_id) over w as distinct_users from e window w as {WT.format(n - 1)}"
+
+
+def _wide(spark, d, n):
+    e = events(spark, d)
+    for op in ("sum", "ave", "var", "max", "min"):
+        e = windows.exact(e, f"{op}_value", op, "value", n, TYPE)
+    e = windows.exact(e, "distinct_users", "countdistinct", "user_id", n, TYPE)
+    return e.select("edge_id", r("sum_value", 3).alias("sum_value"), r("ave_value").alias("ave_value"), r("var_value", 3).alias("var_value"), "max_value", "min_value", "distinct_users")
+
+
+@query(_wide_sql(WIDE_N))
+def exact_features_500(spark, d):
+    return _wide(spark, d, WIDE_N)
+
+
+@query(_wide_sql(DEFAULT_N))
+def exact_features_10000(spark, d):
+    return _wide(spark, d, DEFAULT_N)
+
+
+def _wide_eh_sql(n: int) -> str:
+    levels, c = shape(n, K)
+    step, w = 1 << levels, WT.format("(m - 1)")
+    return f"with e as ({E}), p as (select *, row_number() over (partition by event_type order by ts, edge_id) as n from e), m as (select *, case when n <= {c} then n else n - {step} * ((n - {c} - 1) // {step} + 1) end as m from p) select edge_id, round(sum(value) over w + 1e-7, 3) as eh_sum, round(avg(value) over w + 1e-7, 4) as eh_ave, round(var_pop(value) over w + 1e-7, 3) as eh_var from m window w as {w}"
+
+
+def _wide_eh(spark, d, n):
+    e = histogram.features(events(spark, d), "value", n, K, TYPE, {"sum": "eh_sum", "ave": "eh_ave", "var": "eh_var"})
+    return e.select("edge_id", r("eh_sum", 3).alias("eh_sum"), r("eh_ave").alias("eh_ave"), r("eh_var", 3).alias("eh_var"))
+
+
+@query(_wide_eh_sql(WIDE_N))
+def eh_features_500(spark, d):
+    return _wide_eh(spark, d, WIDE_N)
+
+
+@query(_wide_eh_sql(DEFAULT_N))
+def eh_features_10000(spark, d):
+    return _wide_eh(spark, d, DEFAULT_N)
+
+
 TN = 20
 HELD = TN // B - 1
 TOPK = f"""e as ({E}), p as (select *, row_number() over {WK} as n from e), q as (select *, (n - 1) // {B} as d from p),
@@ -189,14 +242,14 @@ def feature_matrix(spark, d):
 G = "select event_id as edge_id, user_id % {n} as src, cast(json_extract_string(props, '$.k') as bigint) % {n} as dst, epoch_us(ts) / 1e6 as t, event_type from events"
 
 
-@query(f"with g as ({G.format(n=60)}) select a.edge_id as e1, b.edge_id as e2, c.edge_id as e3 from g a join g b on a.dst = b.src and b.t > a.t and b.t <= a.t + 1200 join g c on b.dst = c.src and c.dst = a.src and c.t > b.t and c.t <= a.t + 1200")
+@query(f"with g as ({G.format(n=20)}) select a.edge_id as e1, b.edge_id as e2, c.edge_id as e3 from g a join g b on a.dst = b.src and b.t > a.t and b.t <= a.t + 1200 join g c on b.dst = c.src and c.dst = a.src and c.t > b.t and c.t <= a.t + 1200")
 def temporal_triangles(spark, d):
-    return match(graph(spark, d, 60), triangle(1200)).select(*[F.col(f"{e}.edge_id").alias(e) for e in ("e1", "e2", "e3")])
+    return match(graph(spark, d, 20), triangle(1200)).select(*[F.col(f"{e}.edge_id").alias(e) for e in ("e1", "e2", "e3")])
 
 
-@query(f"with g as ({G.format(n=100)}) select count(*) as triangles from g a join g b on a.dst = b.src and b.t > a.t and b.t <= a.t + 600 join g c on b.dst = c.src and c.dst = a.src and c.t > b.t and c.t <= a.t + 600")
+@query(f"with g as ({G.format(n=10)}) select count(*) as triangles from g a join g b on a.dst = b.src and b.t > a.t and b.t <= a.t + 3600 join g c on b.dst = c.src and c.dst = a.src and c.t > b.t and c.t <= a.t + 3600")
 def triangle_count(spark, d):
-    return count_triangles(graph(spark, d, 100), 600)
+    return count_triangles(graph(spark, d, 10), 3600)
 
 
 @query(f"with g as ({G.format(n=500)}) select a.edge_id as e1, b.edge_id as e2, a.src as x, a.dst as y, b.dst as z from g a join g b on a.dst = b.src and b.t > a.t and b.t <= a.t + 300 where b.event_type = 'purchase'")
@@ -252,11 +305,7 @@ MeanLapse = FOREACH PerUser GENERATE ave(LapseSum);
 
 
 def program(spark, d) -> Planner:
-    from pyspark.sql import types as T
-
-    from rillgraph.schemas import register_schema
-
-    register_schema("EventStream", T.StructType(), "t", "0.0", "user_id", "k")
+    _register()
     e = events(spark, d).withColumn("t", F.unix_micros("ts") / 1e6)
     return Planner({"Flows": e}, mode="exact").run(PROGRAM)
 
@@ -288,11 +337,7 @@ SUBGRAPH ON Flows WITH source(src) AND target(dst) {
 
 @query(f"with g as ({G.format(n=500)}) select a.edge_id as e1, b.edge_id as e2 from g a join g b on a.dst = b.src and b.t > a.t and b.t <= a.t + 300 where b.event_type = 'purchase'")
 def language_subgraph(spark, d):
-    from pyspark.sql import types as T
-
-    from rillgraph.schemas import register_schema
-
-    register_schema("EventGraph", T.StructType(), "t", "dur", "src", "dst")
+    _register()
     return Planner({"Flows": graph(spark, d, 500)}).run(SUBGRAPH).matches[0].select(F.col("e1.edge_id").alias("e1"), F.col("e2.edge_id").alias("e2"))
 
 
@@ -300,3 +345,100 @@ def language_subgraph(spark, d):
 def hash_functions(spark, d):
     e = events(spark, d).withColumns({"ip": F.concat(F.lit("10.0.0."), F.col("user_id") % 256), "t": F.unix_micros("ts") / 1e6})
     return e.select("edge_id", scalars.last_octet_hash("ip").alias("octet"), F.round(scalars.time_hash("t") / 1e6).cast("bigint").alias("deci"))
+
+
+EXPRESSIONS = f"""
+Flows = EventStream("localhost", 9999);
+ByUser = STREAM Flows BY user_id;
+Load = FOREACH ByUser GENERATE sum(value * 2 + k, {N});
+Norm = FOREACH ByUser GENERATE l2norm(value / 4, {N});
+Odd = FILTER ByUser BY Load < 900 and k != 7 or value * 3 >= 270;
+Kept = FOREACH Odd GENERATE max(k, {N});
+"""
+
+
+@query(f"with e as ({E}), l as (select *, sum(value * 2 + k) over {W} as s, sqrt(sum(value / 4 * value / 4) over {W}) as q from e), f as (select * from l where s < 900 and k <> 7 or value * 3 >= 270) select edge_id, round(s + 1e-7, 4) as load, round(q + 1e-7, 4) as norm, max(k) over {W} as most_k from f")
+def language_expressions(spark, d):
+    p = Planner({"Flows": events(spark, d)}, mode="exact")
+    _register()
+    return p.run(EXPRESSIONS).streams["Odd"].df.select("edge_id", r("Load").alias("load"), r("Norm").alias("norm"), F.col("Kept").alias("most_k"))
+
+
+def _register() -> None:
+    from pyspark.sql import types as T
+
+    from rillgraph.schemas import register_schema
+
+    register_schema("EventStream", T.StructType(), "t", "0.0", "user_id", "k")
+    register_schema("EventGraph", T.StructType(), "t", "dur", "src", "dst")
+
+
+KEYED = f"""
+Flows = EventStream("localhost", 9999);
+ByUser = STREAM Flows BY user_id;
+Top = FOREACH ByUser GENERATE topk(event_type, {TN}, {B}, {TOP});
+Buyers = FILTER ByUser BY Top.key(0) == "purchase" and Top.value(0) * 2 > 0.5;
+"""
+
+
+@query(f"with {TOPK} select edge_id, user_id from t where vs[1] = 'purchase' and fs[1] * 2 > 0.5000001")
+def language_top_key(spark, d):
+    _register()
+    e = Planner({"Flows": events(spark, d)}).run(KEYED.replace("0.5;", "0.5000001;")).streams["Buyers"].df
+    return e.select("edge_id", "user_id")
+
+
+MEMBERS = """
+Flows = EventGraph("localhost", 9999);
+ByAll = STREAM Flows BY everything;
+Top = FOREACH ByAll GENERATE topk(dst, 500, 50, 5);
+SUBGRAPH ON Flows WITH source(src) AND target(dst) {
+  client e1 site; client e2 other;
+  site in Top; other not in Top;
+  start(e1) < start(e2);
+  start(e2) - start(e1) <= 3600;
+}
+"""
+
+
+@query(f"""with g as ({G.format(n=30)}), p as (select *, row_number() over (order by t, edge_id) as n from g), q as (select *, (n - 1) // 50 as d from p),
+c as (select d, dst::varchar as v, count(*) as c from q group by all), k as (select *, row_number() over (partition by d order by c desc, v) as r from c),
+s as (select x.d, list(distinct k.v) as vs from (select distinct d from q) x join k on k.r <= 5 and k.d < x.d and k.d >= x.d - 9 group by 1),
+t as (select q.*, s.vs from q left join s on q.d = s.d)
+select a.edge_id as e1, b.edge_id as e2 from t a join t b on a.src = b.src and b.t > a.t and b.t <= a.t + 3600 where list_contains(a.vs, a.dst::varchar) and not list_contains(b.vs, b.dst::varchar)""")
+def language_members(spark, d):
+    _register()
+    g = graph(spark, d, 30).withColumns({"ts": F.col("t"), "everything": F.lit(0)})
+    return Planner({"Flows": g}).run(MEMBERS).matches[0].select(F.col("e1.edge_id").alias("e1"), F.col("e2.edge_id").alias("e2"))
+
+
+INFO = """
+Flows = EventGraph("localhost", 9999);
+Hosts = VertexInfo("localhost", 9998);
+SUBGRAPH ON Flows WITH source(src) AND target(dst) {
+  a e1 b; b e2 c;
+  start(e1) < start(e2);
+  start(e2) - start(e1) <= 1800;
+  Hosts(a).zone == Hosts(c).zone;
+  Hosts(b).zone != 1;
+}
+"""
+
+
+@query(f"with g as ({G.format(n=60)}) select a.edge_id as e1, b.edge_id as e2 from g a join g b on a.dst = b.src and b.t > a.t and b.t <= a.t + 1800 where a.src % 4 = b.dst % 4 and a.dst % 4 <> 1")
+def language_vertex_info(spark, d):
+    _register()
+    hosts = spark.range(60).select(F.col("id").alias("host"), (F.col("id") % 4).alias("zone"))
+    return Planner({"Flows": graph(spark, d, 60), "Hosts": hosts}).run(INFO).matches[0].select(F.col("e1.edge_id").alias("e1"), F.col("e2.edge_id").alias("e2"))
+
+
+@query("with l as (select event_id, event_id || ',' || event_type || ',' || user_id as line from events) select event_id as edge_id, split_part(line, ',', 1) as head, substr(line, strpos(line, ',') + 1) as rest, len(string_split(line, ','))::int as fields, line as again from l")
+def csv_helpers(spark, d):
+    line = F.concat_ws(",", F.col("edge_id").cast("string"), "event_type", F.col("user_id").cast("string"))
+    e = events(spark, d).withColumn("line", line)
+    return e.select("edge_id", scalars.first_element(F.col("line")).alias("head"), scalars.without_first(F.col("line")).alias("rest"), F.size(scalars.tokens(F.col("line"))).alias("fields"), scalars.tuple_text("edge_id", "event_type", "user_id").alias("again"))
+
+
+@query(f"with e as ({E}), x as (select event_type, user_id, count(*) over (partition by event_type) as n from e) select event_type, count(distinct user_id) as fan_out from x group by 1")
+def fan_out(spark, d):
+    return ml.fan_out(events(spark, d), "event_type", "user_id")

@@ -14,10 +14,27 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def split_at_half_positives(df: DataFrame, label: str = "label", order: str = "edge_id") -> tuple[DataFrame, DataFrame]:
-    """Rows before and from the one that holds half of the positives (at a quantile of their order column: no global sort)."""
-    at = df.where(F.col(label) == 1).agg(F.percentile(order, F.lit(0.5))).first()[0]
-    return df.where(F.col(order) < at), df.where(F.col(order) >= at)
+def split_at_half_positives(df: DataFrame, label: str = "label", order: str = "edge_id", parts: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Rows before and from the one that holds half of the positives, by a whole-number order column.
+
+    The middle positive is found by counts over `parts` equal ranges, then over those of the range it lies in, and so on: an
+    aggregate of at most that many rows each time, so nothing is sorted or gathered. Without positives all rows are in the
+    second part.
+    """
+    pos = df.where(F.col(label) == 1).select(F.col(order).cast("decimal(20,0)").alias("x"))
+    n, lo, hi = pos.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    if not n:
+        return df.where("false"), df
+    lo, hi, rank = int(lo), int(hi), n // 2  # the positive with so many before it
+    while hi > lo:
+        width = -(-(hi - lo + 1) // parts)
+        at = F.floor((F.col("x") - F.lit(lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int").alias("p")
+        for p, c in sorted(pos.where(F.col("x").between(lo, hi)).groupBy(at).count().collect()):
+            if rank < c:
+                lo, hi = lo + p * width, min(hi, lo + (p + 1) * width - 1)
+                break
+            rank -= c
+    return df.where(F.col(order) < lo), df.where(F.col(order) >= lo)
 
 
 def evaluate(train: DataFrame, test: DataFrame, features: list[str], label: str = "label", trees: int = 50, seed: int = 1) -> dict[str, float]:
@@ -25,14 +42,35 @@ def evaluate(train: DataFrame, test: DataFrame, features: list[str], label: str
     model = RandomForestClassifier(labelCol=label, numTrees=trees, seed=seed).fit(assemble(train, features))
     scored = model.transform(assemble(test, features))
     out = {m: BinaryClassificationEvaluator(labelCol=label, metricName=m).evaluate(scored) for m in ("areaUnderROC", "areaUnderPR")}
-    p = scored.select(F.round(F.element_at(_to_array("probability"), 2), 3).alias("p"), F.col(label).alias("y"))
-    bins = p.groupBy("p").agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))  # at most 1001 rows
-    w = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    roc = bins.select("p", F.sum("tp").over(w).alias("tp"), F.sum("fp").over(w).alias("fp")).collect()
-    if roc and roc[-1]["tp"] and roc[-1]["fp"]:
-        best = min(roc, key=lambda r: (1 - r["tp"] / roc[-1]["tp"]) ** 2 + (r["fp"] / roc[-1]["fp"]) ** 2)
-        out["cutoff"] = best["p"]
-    return out
+    p = scored.select(F.element_at(_to_array("probability"), 2).alias("p"), F.col(label).cast("double").alias("y"))
+    cutoff = _closest_to_corner(p)
+    return out | ({} if cutoff is None else {"cutoff": cutoff})
+
+
+def _closest_to_corner(p: DataFrame, bins: int = 1000) -> float | None:
+    """The score p at which the ROC point of (p, y) is closest to (0, 1), on the scores themselves.
+
+    Counts by score bin give the points at the bins' edges. Only in a bin whose best corner (all its positives, none of its
+    negatives) beats the closest edge can a point inside be closer; those bins alone are ordered by score, each apart.
+    """
+    b = p.withColumn("b", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int"))
+    edges = sorted(b.groupBy("b").agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp")).collect(), key=lambda r: -r["b"])  # at most `bins` rows
+    tp, fp = sum(r["tp"] for r in edges), sum(r["fp"] for r in edges)
+    if not tp or not fp:
+        return None
+    t = f = 0.0
+    best, corner = float("inf"), {}
+    for r in edges:
+        corner[r["b"]] = ((1 - (t + r["tp"]) / tp) ** 2 + (f / fp) ** 2, t, f)
+        t, f = t + r["tp"], f + r["fp"]
+        best = min(best, (1 - t / tp) ** 2 + (f / fp) ** 2)
+    inside = [(k, x[1], x[2]) for k, x in corner.items() if x[0] <= best]
+    base = F.create_map(*[F.lit(v) for k, t0, f0 in inside for v in (k, t0)]), F.create_map(*[F.lit(v) for k, t0, f0 in inside for v in (k, f0)])
+    each = b.where(F.col("b").isin([k for k, _, _ in inside])).groupBy("b", "p").agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))
+    w = Window.partitionBy("b").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    x = 1 - (base[0][F.col("b")] + F.sum("tp").over(w)) / tp
+    y = (base[1][F.col("b")] + F.sum("fp").over(w)) / fp
+    return each.select("p", (x * x + y * y).alias("d")).agg(F.min_by("p", F.struct("d", -F.col("p")))).first()[0]
 
 
 def _to_array(c: str):

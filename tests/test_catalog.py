@@ -8,6 +8,8 @@ import pytest
 from rillgraph import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Queries whose rows are too few at the smallest scale; the windows of some don't fill there.
+LARGER = {"temporal_triangles", "triangle_count", "vertex_constraints", "exact_features_500", "eh_features_500", "language_members", "language_vertex_info", "language_subgraph", "two_edge_path"}
 
 
 def plain(v):
@@ -18,20 +20,23 @@ def plain(v):
 
 @pytest.fixture(scope="module")
 def duck():
-    con = duckdb.connect()
-    con.execute(f"create view events as select * from '{SF}/events.parquet'")
-    return con
+    return {sf: duckdb.connect() for sf in (SF, SF.replace("0.001", "0.01"))}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
+    sf = SF.replace("0.001", "0.01") if name in LARGER else SF
+    con = duck[sf]
+    con.execute(f"create or replace view events as select * from '{sf}/events.parquet'")
+    got = catalog.QUERIES[name](spark, sf)
     cols = sorted(got.columns)
     mine = sorted(str([plain(r[c]) for c in cols]) for r in got.collect())
-    cur = duck.execute(catalog.ORACLES[name])
+    cur = con.execute(catalog.ORACLES[name])
     names = [x[0] for x in cur.description]
     theirs = sorted(str([plain(dict(zip(names, r, strict=True))[c]) for c in cols]) for r in cur.fetchall())
-    assert sorted(names) == cols and mine == theirs
+    assert sorted(names) == cols and mine == theirs and mine
+    if name == "triangle_count":
+        assert got.first()[0] > 100
 
 
 def test_entry_needs_no_subpackage(spark, tmp_path):
