@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java regex of the characters that part words.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -69,6 +70,26 @@ def sweep(spark: SparkSession, since: int = 0) -> None:
         _remove(spark, path)
 
 
+def tiled(sent: DataFrame, group: str, home: str, most: int) -> DataFrame:
+    """sent, a written table of groups in which every row with `home` is to meet every row, with `_tile`, `_point` and `_query`:
+    inside (group, _tile) every point is to meet every query, and all tiles together hold each such meeting once.
+
+    A group of at most `most` rows is one tile. A larger one is a grid: its points are dealt to tile rows and all its rows, as
+    queries, to tile columns, so no task holds more than about 2 `most` rows. At most one row for each large group is collected.
+    """
+    sizes = sent.groupBy(group).agg(F.count(F.lit(1)).alias("q"), F.count_if(home).alias("p")).where(F.col("q") > most).collect()
+    whole = sent.withColumns({"_tile": F.lit(0), "_point": F.col(home), "_query": F.lit(True)})
+    if not sizes:
+        return whole
+    of = lambda k: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r[group], -(-r[k] // most) or 1)]), F.col(group)), F.lit(1))
+    h = F.xxhash64(*[F.col(c) for c in sent.columns if not isinstance(sent.schema[c].dataType, T.BinaryType)])
+    big = sent.where(F.col(group).isin([r[group] for r in sizes])).withColumns({"_i": of("p"), "_j": of("q")})
+    mine = F.pmod(h, F.col("_i")), F.pmod(F.xxhash64(h), F.col("_j"))
+    points = big.where(home).withColumn("_o", F.explode(F.expr("sequence(0, _j - 1)"))).withColumns({"_tile": (mine[0] * F.col("_j") + F.col("_o")).cast("int"), "_point": F.lit(True), "_query": F.lit(False)})
+    queries = big.withColumn("_o", F.explode(F.expr("sequence(0, _i - 1)"))).withColumns({"_tile": (F.col("_o") * F.col("_j") + mine[1]).cast("int"), "_point": F.lit(False), "_query": F.lit(True)})
+    return whole.where(~F.col(group).isin([r[group] for r in sizes])).unionByName(points.drop("_i", "_j", "_o")).unionByName(queries.drop("_i", "_j", "_o"))
+
+
 def lower_ascii(text):
     """Only A-Z become lower case. Pure ASCII texts take Spark's byte-wise lower(); translate() is for the others."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

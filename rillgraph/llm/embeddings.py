@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import components, cut, table
+from rillgraph.llm.common import components, cut, discard, table, tiled
 
 NAME = "op4_embeddings"
 #: Cells are fitted on at most SAMPLE vectors of a dimension; they decide only where pairs meet, never which are links.
 SAMPLE = 16_384
 BLOCK_DIMS, PER_CELL, LEAST_CELLS, MOST_CELLS = 16, 8192, 4, 1024
+#: Rows of a cell that one task holds (a vector each); a larger cell becomes a grid of tasks.
+MOST_ROWS = 1 << 17
 #: Pairs compared at once.
 TILE = 1 << 22
 #: Slack of block distances, far above rounding; a candidate is verified in full anyway.
@@ -70,17 +72,19 @@ class Space:
                 rows = np.nonzero((home == c) | ((home < c) & (far[:, c] <= r + 1e-6)))[0]
                 yield rows, int(self.first[b] + c), home[rows] == c
 
-    def links(self, cell: int, x: np.ndarray, home: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks of (i, j) with cosine >= threshold that meet in this cell and in no earlier block."""
+    def links(self, cell: int, units: np.ndarray, ids: np.ndarray, home: np.ndarray, point: np.ndarray, query: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of (i, j) of a point and a query with cosine >= threshold that meet in this cell and in no earlier block.
+        Blocks are of the rotated vectors; the cosine is that of the unit vectors themselves."""
+        x = units @ self.turn
         b = int(np.searchsorted(self.first, cell, side="right")) - 1
         lo, hi = self.blocks[b]
-        at, part = np.nonzero(home)[0], np.ascontiguousarray(x[:, lo:hi])
-        rows = max(1, TILE // max(1, len(x)))
+        at, to, part = np.nonzero(point)[0], np.nonzero(query)[0], np.ascontiguousarray(x[:, lo:hi])
+        rows = max(1, TILE // max(1, len(to)))
         for k in range(0, len(at), rows):
             mine = at[k : k + rows]
-            i, j = np.nonzero(self._d2(part[mine], part) <= self.budget[b] + 1e-7)
-            i = mine[i]
-            keep = ~home[j] | (i < j)
+            i, j = np.nonzero(self._d2(part[mine], part[to]) <= self.budget[b] + 1e-7)
+            i, j = mine[i], to[j]
+            keep = ~home[j] & (ids[i] != ids[j]) | (ids[i] < ids[j])
             i, j = i[keep], j[keep]
             for at2 in range(0, len(i), TILE // 64):
                 u, v = i[at2 : at2 + TILE // 64], j[at2 : at2 + TILE // 64]
@@ -89,7 +93,7 @@ class Space:
                 own = [dx[:, lo2:hi2].sum(axis=1) <= self.budget[a] for a, (lo2, hi2) in enumerate(self.blocks[: b + 1])]
                 ok = own[b] & ~np.logical_or.reduce([*own[:b], np.zeros(len(u), bool)])
                 u, v = u[ok], v[ok]
-                ok = (x[u] * x[v]).sum(axis=1) >= threshold
+                ok = (units[u] * units[v]).sum(axis=1) >= threshold
                 yield u[ok], v[ok]
 
 
@@ -103,6 +107,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     finds it. It reports each class's number of links and a spanning forest, never the pairs, so near copies cost no more
     than their number. Vectors of different length are never compared.
 
+    A cell of more than MOST_ROWS rows is compared as a grid of points and queries, so no task grows with the input.
+
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null id, link with nothing:
     n_links 0, component_id their own id. Repeated rows count as vectors of their own. Other columns are not read.
     """
@@ -132,20 +138,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 base, s = spaces[int(d)]
                 flat = col.flatten().to_numpy()
                 start = (col.offsets.to_numpy() - col.offsets.to_numpy()[0])[rows]
-                x = unit(flat[start[:, None] + np.arange(d)]) @ s.turn
+                x = unit(flat[start[:, None] + np.arange(d)])
                 raw = [r.tobytes() for r in x]
-                for at, cell, home in s.route(x):
+                for at, cell, home in s.route(x @ s.turn):
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), base + cell, np.int32)), pa.array(rep[rows[at]]), pa.array(w[rows[at]]), pa.array(home), pa.array([raw[k] for k in at], pa.binary())], names=["cell", "rep", "w", "home", "x"])
 
     def search(t: pa.Table) -> pa.Table:
-        cell, rep, w, home = t.column("cell")[0].as_py(), t.column("rep").to_numpy(), t.column("w").to_numpy(), t.column("home").to_numpy().astype(bool)
+        cell, rep, w = t.column("cell")[0].as_py(), t.column("rep").to_numpy(), t.column("w").to_numpy()
+        home, point, query_ = (t.column(c).to_numpy().astype(bool) for c in ("home", "_point", "_query"))
         x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(len(rep), -1)
         order = np.argsort(rep, kind="stable")
-        rep, w, home, x = rep[order], w[order], home[order], x[order]
+        rep, w, home, point, query_, x = rep[order], w[order], home[order], point[order], query_[order], x[order]
         base, s = max((o for o in spaces.values() if o[0] <= cell), key=lambda o: o[0])
         n, hub = np.zeros(len(rep), np.int64), np.arange(len(rep))
-        for i, j in s.links(cell - base, x, home, threshold):
+        for i, j in s.links(cell - base, x, rep, home, point, query_, threshold):
             np.add.at(n, i, w[j])
             np.add.at(n, j, w[i])
             while len(i):
@@ -159,8 +166,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         return pa.table({"rep": pa.array(rep[some]), "n": pa.array(n[some]), "root": pa.array(rep[hub[some]])})
 
     if sizes:
-        sent = classes.mapInArrow(send, "cell int, rep long, w long, home boolean, x binary")
-        found = cut(sent.groupBy("cell").applyInArrow(search, "rep long, n long, root long"), "links")
+        sent = cut(classes.mapInArrow(send, "cell int, rep long, w long, home boolean, x binary"), "sent")
+        found = cut(tiled(sent, "cell", "home", MOST_ROWS).groupBy("cell", "_tile").applyInArrow(search, "rep long, n long, root long"), "links")
+        discard(sent)
     else:
         found = spark.createDataFrame([], "rep long, n long, root long")
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))

@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import components, cut, table
+from rillgraph.llm.common import components, cut, table, tiled
 
 NAME = "op8_simhash"
 #: The routing tree is fitted on at most this many fingerprints; it decides only where work is done, never the result.
 SAMPLE = 65_536
 #: Fingerprints that a shard is to hold; shards are a power of two between these bounds.
 PER_SHARD, LEAST_SHARDS, MOST_SHARDS = 16_384, 64, 4096
+#: Rows of a shard that one task holds (about 20 bytes each); a larger shard becomes a grid of tasks.
+MOST_ROWS = 1 << 20
 #: Below this many comparisons a branch is compared outright, in blocks of at most as many.
 DENSE = 1 << 20
 
@@ -118,12 +120,12 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, radius: int, seed: int =
             yield p[at + i], q[j]
 
 
-def forest(ids: np.ndarray, fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same ids as all links between home points and all points would: one for each joined point at most."""
+def forest(ids: np.ndarray, fp: np.ndarray, point: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same ids as all links between points and queries would: one for each joined row at most."""
     hub = np.arange(len(ids))
-    at = np.nonzero(home)[0]
-    for i, j in near_pairs(fp[at], fp, radius):
-        a, b = at[i], j
+    at, to = np.nonzero(point)[0], np.nonzero(query)[0]
+    for i, j in near_pairs(fp[at], fp[to], radius):
+        a, b = at[i], to[j]
         while len(a):  # hook larger hubs to smaller ones until this block's links are settled
             ra, rb = hub[a], hub[b]
             far = ra != rb
@@ -147,8 +149,11 @@ def simhash_components(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
     together; pairs are exact. A shard reports a spanning forest of the links it found, so a group of n near copies costs
     n - 1 links, not n^2; components are then joined across shards in the DataFrame engine.
 
-    Null or wordless texts have fingerprint 0 and link like any other. Null ids get the component of their class (null if no
-    row of it has an id). Repeated rows stay. Empty input gives no rows. Other columns are not read.
+    A shard of more than MOST_ROWS rows is compared as a grid of points and queries, so no task grows with the input.
+
+    Null or wordless texts have fingerprint 0 and link like any other. Null ids get the component of their class; a class
+    whose ids are all null takes no part in linking (it has no id to name or join) and its component is null. Repeated rows
+    stay. Texts of any length are read whole, in bounded pieces. Empty input gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -172,13 +177,13 @@ def simhash_components(docs: DataFrame, radius: int = 3, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fp[row].view(np.int64)), pa.array(rep[row]), pa.array(home)], names=["shard", "fp", "rep", "home"])
 
     def search(t: pa.Table) -> pa.Table:
-        fp, rep, home = (t.column(c).to_numpy() for c in ("fp", "rep", "home"))
+        fp, rep, point, query_ = (t.column(c).to_numpy() for c in ("fp", "rep", "_point", "_query"))
         order = np.lexsort((fp, rep))
-        u, v = forest(rep[order], fp[order].view(np.uint64), home[order].astype(bool), radius)
+        u, v = forest(rep[order], fp[order].view(np.uint64), point[order].astype(bool), query_[order].astype(bool), radius)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    sent = classes.mapInArrow(send, "shard int, fp long, rep long, home boolean")
-    links = sent.groupBy("shard").applyInArrow(search, "u long, v long")
+    sent = cut(classes.mapInArrow(send, "shard int, fp long, rep long, home boolean"), "sent")
+    links = tiled(sent, "shard", "home", MOST_ROWS).groupBy("shard", "_tile").applyInArrow(search, "u long, v long")
     roots = components(links)
     found = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component"))
     return fps.join(found, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component")

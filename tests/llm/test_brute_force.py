@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillgraph.llm import chat, decontaminate, embeddings, simhash, warc
 
@@ -38,6 +39,53 @@ def test_simhash(spark):
     assert simhash.simhash_components(df.limit(0)).count() == 0
 
 
+def _planted(bits, n, rng):
+    """Random fingerprints, each with copies at up to 5 differing bits."""
+    out = []
+    for _ in range(n):
+        f = rng.getrandbits(64)
+        out.append(f)
+        for _ in range(rng.randint(0, 3)):
+            g = f
+            for b in rng.sample(range(64), rng.randint(0, bits)):
+                g ^= 1 << b
+            out.append(g)
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_simhash_links_across_shards(spark, monkeypatch, most):
+    """Planted neighbours meet, whatever shards they lie in; shards of over `most` rows are grids."""
+    monkeypatch.setattr(simhash, "MOST_ROWS", most)
+    fps = _planted(5, 400, random.Random(7))
+    made = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: made)
+    root = list(range(len(fps)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = {r.doc_id: r.component for r in simhash.simhash_components(made).collect()}
+    assert got == {i: top(i) for i in range(len(fps))} and len(set(got.values())) < len(fps) - 100
+
+
+def test_simhash_nulls_long_texts_and_other_columns(spark):
+    long = "one two three four five six seven " * 20_000  # seven shingles: an added one tips no majority
+    rows = [(1, None, 9), (2, "", 9), (3, " \t", 9), (None, "", 9), (None, "only null ids here", 9), (4, long, 9), (5, long + "end", 9), (6, "Ärger ABC", 9), (7, "Ärger abc", 9)]
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumn("component", F.lit(1))).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and {by[i].component for i in (1, 2, 3)} == {1} and by[1].fingerprint == "0" * 16
+    assert sorted(str(r.component) for r in got if r.doc_id is None) == ["1", "None"]
+    assert int(by[4].fingerprint, 16) == simhash.fingerprint(long) and by[7].component == 6 and by[5].component == 4
+
+
 def test_simhash_pairs_are_exact():
     rng = np.random.default_rng(1)
     p = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
@@ -65,17 +113,29 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(df, bench.limit(0)).collect())
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("most", [1 << 17, 25])
+def test_embeddings(spark, monkeypatch, most):
+    monkeypatch.setattr(embeddings, "MOST_ROWS", most)
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((30, 32))
-    x = np.concatenate([x, x[:10] + 0.25 * rng.standard_normal((10, 32)), x[:2]])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [0.0] * 32), (102, [float("nan")] * 32), (103, [None] * 32)]
+    x = rng.standard_normal((60, 32))
+    x = np.concatenate([x, x[:20] + 0.25 * rng.standard_normal((20, 32)), x[:20] + 0.45 * rng.standard_normal((20, 32)), 3 * x[:5], x[:2], x[:1]])
+    rows = [(i, v.tolist(), "mine") for i, v in enumerate(x)] + [(200, None, ""), (201, [0.0] * 32, ""), (202, [float("nan")] * 32, ""), (203, [None] * 32, ""), (204, [], ""), (205, [1.0, 2.0], ""), (206, [2.0, 4.0], ""), (207, [1e-300, 2e-300], ""), (208, [float("inf"), 1.0], "")]
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
+    assert 20 < (near.sum() - len(x)) / 2 < 200 and np.abs(u @ u.T - 0.9).min() > 1e-9
     want = _smallest(range(len(x)), lambda a, b: near[a, b])
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string"))
+    got = {r.vec_id: r for r in out.collect()}
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum() - 1, want[i], want[i] == i) for i in range(len(x)))
-    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (100, 101, 102, 103))
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (200, 201, 202, 203, 204, 208))
+    assert all((got[i].n_links, got[i].component_id) == (2, 205) for i in (205, 206, 207))
+
+
+def test_embeddings_empty_and_null_ids(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    got = embeddings.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None)], schema)).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == [("3", 1, "3", True), ("3", 1, "3", True), ("4", 0, "4", True), ("None", 0, "None", True)]
 
 
 def test_warc(spark):
