@@ -10,14 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import components, cut
+from rillgraph.llm.common import components, cut, discard
 
 #: Texts are near copies if the Jaccard similarity of their sets of SHINGLE words is LEAST or more.
 SHINGLE, LEAST = 5, 0.8
 #: A pair at similarity s shares no band with chance (1 - s^ROWS)^BANDS: 5e-7 at 0.8, 2e-18 at 0.9.
 BANDS, ROWS = 48, 6
-#: All pairs of a bucket are compared once they are at most so many times the buckets' rows, or after so many star turns.
-FEW, TURNS = 4, 6
+#: A task compares at most so many texts with as many others, fewer if a text of theirs has many shingles.
+TILE, TILE_SHINGLES = 1024, 1 << 22
+#: Texts of small clusters that one task takes together, and keys that are broadcast at most (8 bytes each).
+TOGETHER, MOST_BROADCAST = 1000, 1_000_000
 _RNG = np.random.default_rng(5)
 _XOR, _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64), _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -66,60 +68,95 @@ def _mark(docs: DataFrame, text_col: str) -> DataFrame:
     return cut(d.mapInArrow(run, schema + ", _node long, _n long, _bands array<long>"), "marked")
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, text_col: str, least: float) -> DataFrame:
-    """Those of the pairs (u, v) whose whole texts are similar enough; pairs whose sizes rule it out are left out first."""
-    pairs = cut(pairs.where(F.least("un", "vn") >= F.greatest("un", "vn") * least - 1e-9).select("u", "v").distinct(), "pairs")
-    nodes = pairs.select(F.col("u").alias("_node")).union(pairs.select("v")).distinct()
-    rows = marked.select("_node", "_row").join(nodes, "_node").groupBy("_node").agg(F.min("_row").alias("_row"))
+def links_of(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose sets have a Jaccard similarity of `least` or more: of all pairs if there is one
+    block, of those between two blocks otherwise. Sets are compared in order of size, so a set meets a range of the others;
+    the range's sets lie in one array and are counted at once."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    node, block, size = node[order], block[order], size[order]
+    flat = np.concatenate([sets[i] for i in order])
+    words_, flat = np.unique(flat, return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(size)])
+    has, root, cross = np.zeros(len(words_), np.uint8), np.arange(len(node)), block.min() != block.max()
+    for i in range(len(node)):
+        hi = int(np.searchsorted(size, size[i] / least + 1e-9, side="right"))  # larger sets can't be similar enough
+        if hi <= i + 1 or not (root[i + 1 : hi] != root[i]).any():
+            continue
+        mine = flat[at[i] : at[i + 1]]
+        has[mine] = 1
+        both = np.add.reduceat(has[flat[at[i + 1] : at[hi]]], at[i + 1 : hi] - at[i + 1], dtype=np.int64)
+        has[mine] = 0
+        near = both >= (size[i] + size[i + 1 : hi] - both) * least - 1e-9
+        if cross:
+            near &= block[i + 1 : hi] != block[i]
+        for r in np.unique(root[i + 1 : hi][near]):
+            if r != root[i]:
+                a, b = min(r, root[i]), max(r, root[i])
+                root[root == b] = a
+    joined = root != np.arange(len(node))
+    return node[joined], node[root[joined]]
+
+
+def _links(clusters: DataFrame, marked: DataFrame, text_col: str, least: float) -> DataFrame:
+    """Links (u, v) inside clusters (node, cluster) of texts: each text's set of shingles goes once to its cluster's task, or
+    to a row of tiles if the cluster is large; what comes back is a forest for each tile, never the pairs."""
+    first = marked.groupBy("_node").agg(F.min("_row").alias("_row")).join(clusters.select(F.col("node").alias("_node"), "cluster"), "_node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(words(t.as_py())).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], names=["node", "h"])
-
-    sets = cut(marked.select("_row", text_col).join(rows, "_row").select("_node", text_col).mapInArrow(run, "node long, h array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
-    both = both.withColumn("_i", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("_i") >= (F.size("a") + F.size("b") - F.col("_i")) * least - 1e-9).select("u", "v")
-
-
-def groups(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """docs with `_row` (unique) and `_component`: a number that the texts joined by links of similarity `least` or more share.
+            sets = [shingles(words(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "cluster", "n", "h"])
+
+    first = cut(first.select("_row", "_node", "cluster"), "first")
+    count = first.count()
+    mine = F.broadcast(first) if count <= MOST_BROADCAST else first
+    sets = cut(marked.select("_row", text_col).join(mine, "_row").select("_node", "cluster", text_col).mapInArrow(run, "node long, cluster long, n long, h binary"), "sets")
+    tile = F.greatest(F.lit(1), F.least(F.lit(TILE), F.expr(f"{TILE_SHINGLES} div greatest(max(n), 1)")))
+    large = sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), tile.alias("t")).select(F.col("cluster").alias("_c"), F.ceil(F.col("m") / F.col("t")).cast("int").alias("k")).where("k > 1")
+    x = sets.join(large, F.col("cluster") == F.col("_c"), "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    x = x.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("_o", F.explode(F.expr("sequence(0, k - 1)")))
+    x = x.withColumn("tile", F.least("block", "_o").cast("long") * F.col("k") + F.greatest("block", "_o"))
+    x = x.withColumn("part", F.when(F.col("k") > 1, F.xxhash64("cluster", "tile")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(max(1, count // TOGETHER))))).select("part", "cluster", "tile", "block", "node", "h")
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("cluster", "ascending"), ("tile", "ascending"), ("node", "ascending")])
+        cluster, tiles, block, node = (t.column(c).to_numpy() for c in ("cluster", "tile", "block", "node"))
+        sets_ = [np.frombuffer(h.as_buffer(), np.uint64) for h in t.column("h")]
+        ends = np.nonzero((cluster[1:] != cluster[:-1]) | (tiles[1:] != tiles[:-1]))[0] + 1
+        u, v = [node[:0]], [node[:0]]
+        for lo, hi in zip([0, *ends], [*ends, len(node)], strict=True):
+            if hi - lo > 1:
+                a, b = links_of(node[lo:hi], block[lo:hi], sets_[lo:hi], least)
+                u.append(a)
+                v.append(b)
+        return pa.table({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+
+    found = cut(x.groupBy("part").applyInArrow(search, "u long, v long"), "links")
+    discard(first, sets)
+    return found
+
+
+def groups(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(docs with `_row` (unique) and `_node` (of equal texts), (node, root) of the nodes that links of similarity `least` or more
+    join to others). The component of a row is its node's root, or its node where it has none.
 
     Words are parted at ASCII white space, A-Z as lower case. Texts of equal words are one node. Nodes that share a band are
-    candidates; buckets may be large (a third of all rows may be near copies), so a bucket's members first meet one centre
-    drawn by hash, and only members of different components meet later: in further stars, and when few pairs are left, or
-    after TURNS turns however many are, all with all. So every pair that shares a band is linked, or in one component, or
-    compared. Similarity is exact on whole texts, by sets of 64-bit hashes. Many texts that share bands but are no near
-    copies cost a comparison for each pair. Texts without words are copies of each other. Repeated rows stay; empty input
-    gives no rows.
+    candidates; candidates that hang together are a cluster. A cluster's sets of shingles are compared in one task, or, if it
+    is large (a third of all rows may be near copies), in a grid of tiles of bounded size; each tile reports a spanning
+    forest. So every pair that shares a band is compared or already in one component, and no pairs become rows. Similarity is
+    exact on whole texts, by sets of 64-bit hashes. Texts without words are copies of each other, null texts too. Repeated
+    rows stay; empty input gives no rows. docs may have no column `_row`, `_node`, `_n` or `_bands` (ValueError).
     """
+    if {c.lower() for c in docs.columns} & {"_row", "_node", "_n", "_bands"}:
+        raise ValueError("a column has a name that is made here")
     marked = _mark(docs, text_col)
-    keyed = marked.select("_node", "_n", "_bands").dropDuplicates(["_node"]).select(F.explode("_bands").alias("key"), F.col("_node").alias("node"), F.col("_n").alias("n"))
-    many = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key")
-    shared = cut(keyed.join(many, "key"), "shared")
-    rows, links, roots = shared.count(), None, None
-    for turn in range(TURNS + 1):
-        b = shared.withColumn("c", F.col("node"))
-        if roots is not None:
-            b = shared.join(roots.select(F.col("node").alias("_x"), "root"), F.col("node") == F.col("_x"), "left").select(*shared.columns, F.coalesce("root", "node").alias("c"))
-        b = cut(b, "buckets")
-        left = b.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        left = cut(left.select("key", F.expr("(s * s - q) / 2").alias("pairs")), "left")
-        pairs = left.agg(F.sum("pairs")).first()[0]
-        if not pairs:
-            break
-        live, whole = b.join(left.select("key"), "key"), turn == TURNS or pairs <= FEW * rows
-        u = live if whole else live.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("o"), "node", "n", "c")).alias("x")).select("key", "x.*")
-        u = u.select("key", F.col("node").alias("un_"), F.col("n").alias("n_"), F.col("c").alias("c_"))
-        met = u.join(live, "key").where("c != c_").where("un_ < node" if whole else "un_ != node")
-        first = F.col("un_") < F.col("node")
-        met = met.select(F.least("un_", "node").alias("u"), F.greatest("un_", "node").alias("v"), F.when(first, F.col("n_")).otherwise(F.col("n")).alias("un"), F.when(first, F.col("n")).otherwise(F.col("n_")).alias("vn"))
-        found = cut(_verified(met, marked, text_col, least), "links")
-        links = found if links is None else links.union(found)
-        roots = cut(components(links), "roots")
-        if whole:
-            break
-    if roots is None:
-        return marked.withColumn("_component", F.col("_node")).drop("_node", "_n", "_bands")
-    roots = roots.select(F.col("node").alias("_node"), "root")
-    return marked.drop("_n", "_bands").join(roots, "_node", "left").withColumn("_component", F.coalesce("root", "_node")).drop("_node", "root")
+    keyed = marked.select(F.explode("_bands").alias("key"), F.col("_node").alias("node"))
+    many = cut(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key", "a"), "many")
+    n = many.count()
+    out = marked.drop("_n", "_bands")
+    if not n:
+        return out, docs.sparkSession.createDataFrame([], "node long, root long")
+    meet = keyed.join(F.broadcast(many) if n <= MOST_BROADCAST else many, "key").select(F.col("node").alias("u"), F.col("a").alias("v")).where("u != v").distinct()
+    clusters = components(meet).select("node", F.col("root").alias("cluster"))
+    return out, cut(components(_links(cut(clusters, "clusters"), marked, text_col, least)), "roots")

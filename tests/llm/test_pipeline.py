@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from rillgraph.llm import neardup
 
@@ -50,14 +52,38 @@ def test_near_dedup_finds_every_near_copy(spark):
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
 
 
-def test_near_dedup_in_stars(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "FEW", 0)
-    monkeypatch.setattr(neardup, "TURNS", 2)  # large buckets: only stars until the last turn
+def test_near_dedup_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 3)  # large clusters become grids
+    monkeypatch.setattr(neardup, "MOST_BROADCAST", 0)
     texts = _near_copies(4, 12)
     df = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(_classes(texts)))
 
 
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 62, rng.integers(5, 60), dtype=np.uint64)
+        for _ in range(rng.integers(1, 8)):
+            x = base.copy()
+            x[rng.random(len(x)) < 0.12] += np.uint64(rng.integers(1, 9))
+            sets.append(np.unique(x))
+    node, block = np.arange(len(sets)) * 7 + 3, rng.integers(0, 2, len(sets))
+    for blocks in (np.zeros(len(sets), int), block):
+        want = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if _similar(set(sets[i].tolist()), set(sets[j].tolist())) and (blocks[i] != blocks[j] or not blocks.any()):
+                    a, b = sorted((want[i], want[j]))
+                    want = [a if g == b else g for g in want]
+        got = list(range(len(sets)))
+        for u, v in zip(*neardup.links_of(node, blocks, sets, 0.8), strict=True):
+            a, b = sorted((got[(u - 3) // 7], got[(v - 3) // 7]))
+            got = [a if g == b else g for g in got]
+        assert got == want and len(set(want)) < len(sets)
+
+
 def test_near_dedup_keeps_a_row_of_every_group(spark):
     clean = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"]
     rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (8, clean[3]), (None, clean[4]), (9, clean[4]), (8, clean[5])]
