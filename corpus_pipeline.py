@@ -13,6 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.35
 #: Of the words that remain, and at most so many epochs of a leaf, the mixture takes:
 FRACTION, EPOCHS, SHARDS = 0.9, 1, 40
+#: Different texts that have copies are broadcast up to this many (16 bytes each), and shuffled beyond.
+MOST_BROADCAST = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +26,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (5-word Jaccard similarity of 0.8 or more): that with the smallest id, null ids
     last; of rows that share it, that with the smallest MD5 of the text."""
-    rows = neardup.groups(docs.select(*COLUMNS))
+    rows, roots = neardup.groups(docs.select(*COLUMNS))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("binary")), F.xxhash64(*COLUMNS), "_row")
-    keep = rows.groupBy("_component").agg(F.min(order).alias("_least")).select("_least._row")
-    return rows.join(keep, "_row", "left_semi").select(*COLUMNS)
+    nodes = rows.groupBy("_node").agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    nodes = nodes.join(roots, F.col("_node") == F.col("node"), "left").withColumn("_component", F.coalesce("root", "_node"))
+    groups = nodes.groupBy("_component").agg(F.min("_least").alias("_first"), F.sum("_rows").alias("_all")).where("_all > 1")
+    kept = cut(nodes.join(groups, "_component").select(F.col("_node").alias("_member"), F.col("_first._row").alias("_kept")), "kept")
+    small = F.broadcast if kept.count() <= MOST_BROADCAST else (lambda x: x)
+    return rows.join(small(kept), F.col("_node") == F.col("_member"), "left").where("_kept is null or _kept = _row").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
