@@ -70,14 +70,15 @@ def sweep(spark: SparkSession, since: int = 0) -> None:
         _remove(spark, path)
 
 
-def tiled(sent: DataFrame, group: str, home: str, most: int) -> DataFrame:
-    """sent, a written table of groups in which every row with `home` is to meet every row, with `_tile`, `_point` and `_query`:
-    inside (group, _tile) every point is to meet every query, and all tiles together hold each such meeting once.
+def tiled(sent: DataFrame, group: str, home: str, most: int, slim: DataFrame | None = None) -> DataFrame:
+    """sent, groups in which every row with `home` is to meet every row, with `_tile`, `_point` and `_query`: inside
+    (group, _tile) every point is to meet every query, and all tiles together hold each such meeting once. slim may give the
+    same rows' group and home in a cheaper way, for the counts.
 
     A group of at most `most` rows is one tile. A larger one is a grid: its points are dealt to tile rows and all its rows, as
     queries, to tile columns, so no task holds more than about 2 `most` rows. At most one row for each large group is collected.
     """
-    sizes = sent.groupBy(group).agg(F.count(F.lit(1)).alias("q"), F.count_if(home).alias("p")).where(F.col("q") > most).collect()
+    sizes = (sent if slim is None else slim).groupBy(group).agg(F.count(F.lit(1)).alias("q"), F.count_if(home).alias("p")).where(F.col("q") > most).collect()
     whole = sent.withColumns({"_tile": F.lit(0), "_point": F.col(home), "_query": F.lit(True)})
     if not sizes:
         return whole

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import components, cut, discard, table, tiled
+from rillgraph.llm.common import components, cut, table, tiled
 
 NAME = "op4_embeddings"
 #: Cells are fitted on at most SAMPLE vectors of a dimension; they decide only where pairs meet, never which are links.
@@ -78,12 +79,16 @@ class Space:
         x = units @ self.turn
         b = int(np.searchsorted(self.first, cell, side="right")) - 1
         lo, hi = self.blocks[b]
-        at, to, part = np.nonzero(point)[0], np.nonzero(query)[0], np.ascontiguousarray(x[:, lo:hi])
+        at, to, part = np.nonzero(point)[0], np.nonzero(query)[0], x[:, lo:hi]
+        # |p - q|^2 <= budget is p.q - |p|^2 / 2 - |q|^2 / 2 + budget / 2 >= 0: one product in single precision, whose error is
+        # far below the slack; what passes is measured again in double precision.
+        half, one = (part * part).sum(axis=1, keepdims=True) / 2, np.ones((len(x), 1))
+        left = np.concatenate([part, self.budget[b] / 2 - half, one], axis=1).astype(np.float32)[at]
+        right = np.concatenate([part, one, -half], axis=1).astype(np.float32)[to].T.copy()
         rows = max(1, TILE // max(1, len(to)))
         for k in range(0, len(at), rows):
-            mine = at[k : k + rows]
-            i, j = np.nonzero(self._d2(part[mine], part[to]) <= self.budget[b] + 1e-7)
-            i, j = mine[i], to[j]
+            i, j = divmod(np.flatnonzero(left[k : k + rows] @ right >= np.float32(-1e-5)), max(1, len(to)))
+            i, j = at[k + i], to[j]
             keep = ~home[j] & (ids[i] != ids[j]) | (ids[i] < ids[j])
             i, j = i[keep], j[keep]
             for at2 in range(0, len(i), TILE // 64):
@@ -129,7 +134,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         spaces[d] = (offset, s)
         offset += int(s.first[-1])
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch], vectors: bool = True) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col, rep, w = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             length = np.diff(col.offsets.to_numpy())
@@ -139,9 +144,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 flat = col.flatten().to_numpy()
                 start = (col.offsets.to_numpy() - col.offsets.to_numpy()[0])[rows]
                 x = unit(flat[start[:, None] + np.arange(d)])
-                raw = [r.tobytes() for r in x]
+                raw = [r.tobytes() for r in x] if vectors else None
                 for at, cell, home in s.route(x @ s.turn):
-                    if len(at):
+                    if len(at) and not vectors:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), base + cell, np.int32)), pa.array(home)], names=["cell", "home"])
+                    elif len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), base + cell, np.int32)), pa.array(rep[rows[at]]), pa.array(w[rows[at]]), pa.array(home), pa.array([raw[k] for k in at], pa.binary())], names=["cell", "rep", "w", "home", "x"])
 
     def search(t: pa.Table) -> pa.Table:
@@ -166,9 +173,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         return pa.table({"rep": pa.array(rep[some]), "n": pa.array(n[some]), "root": pa.array(rep[hub[some]])})
 
     if sizes:
-        sent = cut(classes.mapInArrow(send, "cell int, rep long, w long, home boolean, x binary"), "sent")
-        found = cut(tiled(sent, "cell", "home", MOST_ROWS).groupBy("cell", "_tile").applyInArrow(search, "rep long, n long, root long"), "links")
-        discard(sent)
+        sent = classes.mapInArrow(send, "cell int, rep long, w long, home boolean, x binary")
+        slim = classes.mapInArrow(functools.partial(send, vectors=False), "cell int, home boolean")
+        found = cut(tiled(sent, "cell", "home", MOST_ROWS, slim).groupBy("cell", "_tile").applyInArrow(search, "rep long, n long, root long"), "links")
     else:
         found = spark.createDataFrame([], "rep long, n long, root long")
     roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
