@@ -6,28 +6,43 @@ from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillgraph.operators.windows import ORDER, key_window, last_rows
+from rillgraph.functions.columns import private
+from rillgraph.operators import windows
+from rillgraph.operators.windows import ORDER, key_window
 
 
 def similarity(df: DataFrame, name: str, value: str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
-    """Jaccard index of the two physical halves of a ring of n slots that starts as zeros: row i fills slot (i - 1) mod n."""
-    w = last_rows(n, keys, order)
-    d = df.withColumn("_n", F.row_number().over(key_window(keys, order)))
-    d = d.withColumn("_ring", F.collect_list(F.struct(((F.col("_n") - 1) % n).alias("slot"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))).over(w))
-    half = n // 2
-
-    def part(low: bool, filled):
-        vs = F.transform(F.filter("_ring", lambda x: (x["slot"] < half) if low else (x["slot"] >= half)), lambda x: x["v"])
-        return F.array_distinct(F.when(filled, vs).otherwise(F.concat(vs, F.array(F.lit(0.0)))))
+    """Jaccard index of the two physical halves of a ring of n slots that starts as zeros: row i fills slot (i - 1) mod n.
+    Null values count as 0.
 
+    Counted, not gathered: the low half holds the last n // 2 rows that fell into it, so its distinct values are those of a
+    window over these rows alone (carried along the rows of the other half); the high half likewise; their union is the
+    window of n rows. A zero that a slot began with counts until the half is full. A row costs the same whatever n.
+    """
     if n == 1:  # all lies in one half
-        return d.withColumn(name, F.lit(0.0)).drop("_n", "_ring")
-    a, b = part(True, F.col("_n") >= half), part(False, F.col("_n") >= n)
-    return d.withColumns({"_a": a, "_h": b}).withColumn(name, F.size(F.array_intersect("_a", "_h")) / F.size(F.array_union("_a", "_h"))).drop("_n", "_ring", "_a", "_h")
+        return df.withColumn(name, F.lit(0.0))
+    half = n // 2
+    v, i, low, some, a, b, u = private(df, "filled", "place", "low", "zeros", "own", "other", "union")
+    w = key_window(keys, order)
+    d = df.withColumns({v: F.coalesce(F.col(value).cast("double"), F.lit(0.0)) + 0.0, i: F.row_number().over(w)})  # -0.0 is 0.0
+    d = d.withColumn(low, (F.col(i) - 1) % n < half)
+    d = windows.distinct(d, a, F.col(v), half, [*keys, low], order)
+    if n % 2:  # the high half has a slot more
+        d = windows.distinct(d, b, F.col(v), half + 1, [*keys, low], order).withColumn(a, F.when(F.col(low), F.col(a)).otherwise(F.col(b)))
+    d = windows.distinct(d, u, F.col(v), n, keys, order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    sizes = []
+    for is_low, full in ((F.col(low), half), (~F.col(low), n)):
+        count = F.coalesce(F.last(F.when(is_low, F.col(a)), ignorenulls=True).over(so_far), F.lit(0))
+        zero = F.coalesce(F.max(is_low & (F.col(v) == 0.0)).over(so_far), F.lit(False))
+        sizes.append((count, zero, F.col(i) < full))
+    d = d.withColumns({b: F.array(*[c + (first & ~z).cast("long") for c, z, first in sizes]), some: sizes[0][1] | sizes[1][1]})
+    union = F.col(u) + ((F.col(i) < n) & ~F.col(some)).cast("long")
+    return d.withColumn(name, (F.get(b, F.lit(0)) + F.get(b, F.lit(1)) - union) / union).select(*windows.kept(df, name))
 
 
 class RotatingDistinct:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillgraph.functions.columns import private
 from rillgraph.operators.windows import ORDER, key_window
 
 
@@ -62,6 +65,19 @@ def collapse(df: DataFrame, feature: str, keep_keys: Sequence[str], drop_key: st
     return d.drop("_was", "_new", "_c", "_s", "_q")
 
 
+def lookup_latest(df: DataFrame, asked: DataFrame, feature: str, keys: Sequence[str], time: str = "ts", edge_id: str = "edge_id") -> DataFrame:
+    """asked (keys, time, its own columns) with the feature that each key had at the time asked: that of the last row of df by
+    (time, edge_id) not after it; null where there is none or its feature is null. A null key has no features.
+
+    An as-of join as one ordered union: a window function carries the latest feature along the key, no range join."""
+    mine, last, is_row = private(asked, "feature", "id", "row")
+    rows = df.select(*keys, F.col(time), F.struct(F.col(feature)).alias(mine), F.col(edge_id).cast("long").alias(last), F.lit(0).alias(is_row))
+    d = rows.unionByName(asked.withColumn(is_row, F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(time, is_row, last).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(reduce(and_, [F.col(k).isNotNull() for k in keys]), F.last(mine, ignorenulls=True).over(w)[feature])
+    return d.withColumn(mine, found).where(F.col(is_row) == 1).select(*[F.col(f"`{c}`") for c in asked.columns if c != feature], F.col(mine).alias(feature))
+
+
 def subtuple(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 

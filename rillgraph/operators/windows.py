@@ -37,9 +37,17 @@ EXACT: dict[str, Callable[[Column, WindowSpec], Column]] = {
     "countdistinct": lambda c, w: F.size(F.collect_set(c).over(w)).cast("long"),
     "approxdistinct": lambda c, w: F.approx_count_distinct(c).over(w),
     "l2norm": lambda c, w: F.sqrt(F.sum(c * c).over(w)),
+    "rarity": lambda c, w: _rarity(F.collect_list(c).over(w)),
 }
 
 
+def _rarity(values: Column) -> Column:
+    """The share of the distinct values that occur once; null without values. Costs a comparison for each pair of values."""
+    different = F.array_distinct(values)
+    once = F.filter(different, lambda v: F.size(F.filter(values, lambda u: u == v)) == 1)
+    return F.size(once) / F.nullif(F.size(different), F.lit(0))
+
+
 def register_operator(name: str, fn: Callable[[Column, WindowSpec], Column]) -> None:
     """Add a window operator under a name that the builder and the query language accept."""
     EXACT[name] = fn
@@ -54,7 +62,7 @@ def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys:
     """df with feature `name`. Equal (keys, order) share one exchange, whatever n. Nulls are left out, as in Spark's aggregates."""
     c = F.col(value) if isinstance(value, str) else value
     if n > FRAME and op in BLOCKWISE:
-        return (_distinct if op == "countdistinct" else _blockwise)(df, name, op, c, n, keys, order)
+        return distinct(df, name, c, n, keys, order) if op == "countdistinct" else _blockwise(df, name, op, c, n, keys, order)
     return df.withColumn(name, EXACT[op](c, last_rows(n, keys, order)))
 
 
@@ -94,10 +102,10 @@ def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Seque
         out = F.sqrt(out) if op == "stddev" else out
     else:
         out = F.sqrt(total(0)) if op == "l2norm" else total(0)
-    return d.withColumn(name, out).select(*_kept(df, name))
+    return d.withColumn(name, out).select(*kept(df, name))
 
 
-def _distinct(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def distinct(df: DataFrame, name: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Running sum of changes: a value enters with a row unless it occurs in the n - 1 rows before, and leaves with the row n
     before unless it occurs in the n - 1 rows after that."""
     v, i, p, q, on, off = private(df, "value", "row", "before", "after", "enters", "leaves")
@@ -110,10 +118,10 @@ def _distinct(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequen
     d = d.withColumns({on: (some & (F.col(p).isNull() | (F.col(p) <= row - n))).cast("long"), off: (some & (F.col(q).isNull() | (F.col(q) >= row + n))).cast("long")})
     by_row = Window.partitionBy(*ks).orderBy(i)
     d = d.withColumn(off, F.coalesce(F.lag(off, n).over(by_row), F.lit(0)))
-    return d.withColumn(name, F.sum(F.col(on) - F.col(off)).over(by_row.rowsBetween(Window.unboundedPreceding, 0))).select(*_kept(df, name))
+    return d.withColumn(name, F.sum(F.col(on) - F.col(off)).over(by_row.rowsBetween(Window.unboundedPreceding, 0))).select(*kept(df, name))
 
 
-def _kept(df: DataFrame, name: str) -> list[Column]:
+def kept(df: DataFrame, name: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, name])]
 
 
@@ -121,6 +129,16 @@ def quantile(df: DataFrame, name: str, value: str, q: float, n: int, keys: Seque
     return df.withColumn(name, F.percentile(F.col(value), F.lit(q)).over(last_rows(n, keys, order)))
 
 
+def autocorrelation(df: DataFrame, name: str, value: str, lag: int, n: int, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
+    """Pearson correlation, over the last n rows, of the value with that of the key's row `lag` before. Null where fewer than
+    two pairs are complete or one side is constant."""
+    (before,) = private(df, "before")
+    d = df.withColumn(before, F.lag(value, lag).over(key_window(keys, order)))
+    x, y, w = F.when(F.col(before).isNotNull(), F.col(value)), F.when(F.col(value).isNotNull(), F.col(before)), last_rows(n, keys, order)
+    spread = F.sqrt(F.var_pop(x).over(w) * F.var_pop(y).over(w))
+    return d.withColumn(name, F.covar_pop(x, y).over(w) / F.nullif(spread, F.lit(0.0))).select(*kept(df, name))
+
+
 def identity(df: DataFrame, name: str, value: str) -> DataFrame:
     return df.withColumn(name, F.col(value).cast("double"))
 

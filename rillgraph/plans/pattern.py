@@ -27,6 +27,7 @@ class Pattern:
     max_offset: float = 100.0
     edges: list[Edge] = field(default_factory=list)
     constraints: list[tuple[str, bool, object]] = field(default_factory=list)
+    constants: dict[str, object] = field(default_factory=dict)
 
     def edge(self, src: str, name: str, trg: str, where: Column | None = None) -> Pattern:
         if any(e.name == name for e in self.edges):
@@ -52,6 +53,12 @@ class Pattern:
         self.constraints.append((variable, inside, what))
         return self
 
+    def constant(self, variable: str, value: object) -> Pattern:
+        """The variable binds this vertex only."""
+        if self.constants.setdefault(variable, value) != value:
+            raise ValueError(f"{variable} can't be two vertices")
+        return self
+
     def finalize(self) -> list[Edge]:
         """Edges in time order with complete ranges; raises if an edge has no time, no zero exists, or edges don't connect."""
         off, done = self.max_offset, []
@@ -99,6 +106,9 @@ def match(edges: DataFrame, pattern: Pattern, bucket: bool = True) -> DataFrame:
             c = c.where(e.where)
         if e.src == e.trg:
             c = c.where("src = dst")
+        for end, v in (("src", e.src), ("dst", e.trg)):
+            if v in pattern.constants:  # reaches the scan
+                c = c.where(F.col(end) == F.lit(pattern.constants[v]))
         for v, inside, w in arrays:
             for end in [x for x, var in (("src", e.src), ("dst", e.trg)) if var == v]:
                 has = F.array_contains(F.col(w), F.col(end).cast("string"))

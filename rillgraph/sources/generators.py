@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,21 @@ def one_pair(spark: SparkSession, n: int, mean: float = 1000.0, deviation: float
     return _flow(spark.range(n), SrcPayloadBytes=F.greatest(F.lit(0), F.round(F.lit(mean) + deviation * z)).cast("long"))
 
 
+def servers_and_clients(spark: SparkSession, examples: int, servers: int = 2, others: int = 3, ports: int = 100, seed: int = 1) -> DataFrame:
+    """examples flows to each host in turn: servers are asked on two ports only, the others on any of `ports`."""
+    hosts = servers + others
+    host = F.col("id") % hosts
+    port = F.when(host < servers, (uniform(seed, 0) * 2).cast("int") * 363 + 80).otherwise(1024 + (uniform(seed, 1) * ports).cast("int"))
+    name = F.concat(F.when(host < servers, F.lit("server")).otherwise(F.lit("host")), host.cast("string"))
+    return _flow(spark.range(examples * hosts), DestIp=name, DestPort=port)
+
+
+def in_turn(flows: Sequence[DataFrame], edge_id: str = "edge_id") -> DataFrame:
+    """The flows of several generators, one of each in turn: the i-th of the j-th has the id i * (their number) + j."""
+    parts = [f.withColumn(edge_id, F.col(edge_id) * len(flows) + j) for j, f in enumerate(flows)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def watering_hole(spark: SparkSession, n: int, clients: int = 1000, servers: int = 5, attacks: int = 5, rate: float = 100.0, seed: int = 1) -> DataFrame:
     """Clients visit popular servers; planted clients then contact a controller that no one else does."""
     every = max(2, n // (attacks + 1))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillgraph.functions.columns import private
 from rillgraph.schemas import NO_LABEL
 
 
@@ -16,15 +19,35 @@ def _typed(parsed: DataFrame, legacy_int_duration: bool) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, struct: T.StructType, label: T.StructType = NO_LABEL, legacy_int_duration: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
-    """Edges of a CSV file: label columns, then the tuple. edge_id follows the file's order of lines (per file, by offset)."""
+    """Edges of a CSV file: label columns, then the tuple. edge_id follows the files' paths, then their lines."""
     full = T.StructType([*label.fields, *struct.fields])
     edges = spark.read.schema(full).option("mode", mode).csv(path)
-    return with_edge_id(_typed(edges, legacy_int_duration))
-
-
-def with_edge_id(edges: DataFrame) -> DataFrame:
-    """edge_id that rises with the order in which Spark reads the rows; prefer an id of the data where there is one."""
-    return edges.select(F.monotonically_increasing_id().alias("edge_id"), "*")
+    return _typed(in_file_order(edges), legacy_int_duration)
+
+
+#: Bits of an edge_id for the place in a file: files of up to 1 TB, and up to 8 million of them.
+PLACE_BITS = 40
+
+
+def in_file_order(edges: DataFrame) -> DataFrame:
+    """edges, as a reader of files made them, with edge_id: file by file in the order of paths, line by line.
+
+    A split's rows are numbered from its offset in the file. No row is shorter than a byte, so the ids rise through the file
+    and give one order however Spark splits and packs the files; the ids themselves depend on the splits. The numbering is one
+    shuffle by split, of at most spark.sql.files.maxPartitionBytes each."""
+    local = "^file:/+"  # Spark writes file:/ and file:///
+    path, start, at, file = private(edges, "path", "start", "at", "file")
+    d = edges.withColumns({path: F.regexp_replace("_metadata.file_path", local, "file:/"), start: F.col("_metadata.file_block_start"), at: F.monotonically_increasing_id()})
+    files = sorted(re.sub(local, "file:/", f) for f in edges.inputFiles())
+    if len(files) > 1 << 63 - PLACE_BITS:
+        raise ValueError(f"{len(files)} files: too many to number")
+    place = F.col(start) + F.row_number().over(Window.partitionBy(path, start).orderBy(at)) - 1
+    if len(files) < 2:
+        return d.select(place.alias("edge_id"), *[F.col(f"`{c}`") for c in edges.columns])
+    ranks = edges.sparkSession.createDataFrame(list(enumerate(files)), f"{file} long, `{path}_` string")
+    d = d.join(ranks, F.col(path) == F.col(f"{path}_"), "left")
+    rank = F.coalesce(file, F.raise_error(F.concat(F.lit("not among the files listed: "), F.col(path))).cast("long"))
+    return d.select((F.shiftleft(rank, PLACE_BITS) + place).alias("edge_id"), *[F.col(f"`{c}`") for c in edges.columns])
 
 
 def parse_lines(lines: DataFrame, struct: T.StructType, label: T.StructType = NO_LABEL, column: str = "value") -> DataFrame:

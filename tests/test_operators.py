@@ -147,3 +147,38 @@ def test_wide_windows_after_large_values(spark):
     x = [1e16] * 60 + [0.25] * 200
     for op, want in (("sum", 12.5), ("ave", 0.25), ("var", 0.0)):
         assert col(windows.exact(rows(spark, x), "f", op, "v", 50, ["key"]), "f")[-1] == want
+
+
+@pytest.mark.parametrize("n", [2, 5, 10, 21])
+def test_similarity_of_rings(spark, n):
+    """Against a ring of slots that begins as zeros; nulls are zeros, and no working column meets the input's."""
+    x = [None if i % 13 == 4 else float((i * i * 5 + i // 9) % 7 - 1) for i in range(150)]
+    d = rows(spark, x).withColumn("key", F.when(F.col("edge_id") % 3 == 0, "b").otherwise("a")).withColumns({"__low": F.lit(1), "_ring": F.lit(2)})
+    got = sequential.similarity(d, "s", "v", n, ["key"])
+    assert got.columns == [*d.columns, "s"]
+    rings, at, want = {}, {}, []
+    for i, v in enumerate(x):
+        key = "b" if i % 3 == 0 else "a"
+        ring = rings.setdefault(key, [0.0] * n)
+        ring[at.get(key, 0) % n] = v or 0.0
+        at[key] = at.get(key, 0) + 1
+        a, b = set(ring[: n // 2]), set(ring[n // 2 :])
+        want.append(len(a & b) / len(a | b))
+    assert col(got, "s") == pytest.approx(want)
+
+
+def test_lookup_latest(spark):
+    f = spark.createDataFrame([(0, 1.0, "a", 5.0), (1, 2.0, "a", 6.0), (2, 2.0, "a", None), (3, 1.0, None, 9.0), (4, 9.0, "b", 7.0)], "edge_id long, ts double, key string, f double")
+    asked = spark.createDataFrame([("a", 0.5, 1), ("a", 1.0, 2), ("a", 1.5, 3), ("a", 2.0, 4), ("b", 8.0, 5), ("c", 9.0, 6), (None, 9.0, 7), ("a", 1.5, 3)], "key string, ts double, __row int")
+    got = transform.lookup_latest(f, asked, "f", ["key"])
+    assert got.columns == ["key", "ts", "__row", "f"]
+    assert sorted((r["__row"], r.f) for r in got.collect() if r["__row"] != 3) == [(1, None), (2, 5.0), (4, None), (5, None), (6, None), (7, None)]
+    assert [r.f for r in got.where("__row = 3").collect()] == [5.0, 5.0]
+
+
+def test_autocorrelation_and_rarity(spark):
+    d = rows(spark, [1.0, 2.0, 4.0, 3.0, 3.0, None, 1.0])
+    assert col(windows.autocorrelation(d, "c", "v", 1, 4, ["key"]), "c")[:3] == [None, None, pytest.approx(1.0)]
+    assert col(windows.autocorrelation(rows(spark, [2.0] * 4), "c", "v", 1, 4, ["key"]), "c") == [None] * 4
+    assert col(windows.exact(d, "r", "rarity", "v", 3, ["key"]), "r") == [1.0, 1.0, 1.0, 1.0, 0.5, 0.0, 1.0]
+    assert col(windows.exact(rows(spark, [None]), "r", "rarity", "v", 3, ["key"]), "r") == [None]
