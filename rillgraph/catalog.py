@@ -90,14 +90,22 @@ def count_distinct_rotating(spark, d):
     return sequential.rotating_distinct(events(spark, d).select("edge_id", "ts", "user_id", "k"), "distinct_k", "k", N, KEY).select("edge_id", "distinct_k")
 
 
-@query()
+@query(f"with e as ({E}) select edge_id, len(list_distinct(list(k) over {W}))::bigint as distinct_k, true as near from e")
 def count_distinct_approx(spark, d):
-    return windows.exact(events(spark, d), "approx_k", "approxdistinct", "k", N, KEY).select("edge_id", "approx_k")
+    """The sketch's estimate lies within three standard errors (5 % each), or a value, of the truth."""
+    e = windows.exact(events(spark, d), "approx_k", "approxdistinct", "k", N, KEY)
+    e = windows.exact(e, "distinct_k", "countdistinct", "k", N, KEY)
+    return e.select("edge_id", "distinct_k", (F.abs(F.col("approx_k") - F.col("distinct_k")) <= F.greatest(F.lit(1.0), 0.15 * F.col("distinct_k"))).alias("near"))
 
 
-@query()
+@query(f"""with recursive e as ({E}), w as (select edge_id, list_sort(list(value) over {W}) as s from e),
+r as (select edge_id, s, s[len(s) // 4 + 1] as a, s[3 * len(s) // 4 + 1] as b, 0 as i, len(s) <= 2 as done from w
+  union all select edge_id, s, na, nb, i + 1, na = a and nb = b from (select *, coalesce(list_aggregate(list_filter(s, lambda x: abs(x - a) <= abs(x - b)), 'median'), a) as na, coalesce(list_aggregate(list_filter(s, lambda x: abs(x - a) > abs(x - b)), 'median'), b) as nb from r where i < 20 and not done)),
+l as (select edge_id, arg_max(s, i) as s, arg_max(a, i) as a, arg_max(b, i) as b from r group by 1)
+select edge_id, round(case when len(s) <= 2 then s[1] else least(a, b) end + 1e-7, 4) as low, round(case when len(s) <= 2 then s[2] else greatest(a, b) end + 1e-7, 4) as high from l""")
 def k_medians(spark, d):
-    return sequential.kmedian(events(spark, d).select("edge_id", "ts", "user_id", "value"), "medians", "value", N, 2, KEY).select("edge_id", F.transform("medians", lambda x: F.round(x, 4)).alias("medians"))
+    e = sequential.kmedian(events(spark, d).select("edge_id", "ts", "user_id", "value"), "medians", "value", N, 2, KEY)
+    return e.select("edge_id", r(F.get("medians", F.lit(0))).alias("low"), r(F.get("medians", F.lit(1))).alias("high"))
 
 
 L, C = shape(N, K)
@@ -194,6 +202,21 @@ def self_similarity(spark, d):
     return sequential.similarity(events(spark, d), "similarity", "k", N, KEY).select("edge_id", r("similarity").alias("similarity"))
 
 
+@query(f"""with e as ({E}), p as (select edge_id, user_id, event_type, row_number() over (partition by event_type order by ts, edge_id) as n from e),
+w as (select edge_id, n, list(user_id::double) filter ((n - 1) % {WIDE_N} < {WIDE_N // 2}) over v as x, list(user_id::double) filter ((n - 1) % {WIDE_N} >= {WIDE_N // 2}) over v as y from p window v as (partition by event_type order by n rows between {WIDE_N - 1} preceding and current row)),
+h as (select edge_id, list_distinct(case when n >= {WIDE_N // 2} then x else list_append(coalesce(x, []), 0.0) end) as x, list_distinct(case when n >= {WIDE_N} then y else list_append(coalesce(y, []), 0.0) end) as y from w)
+select edge_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) + 1e-7, 4) as similarity from h""")
+def self_similarity_500(spark, d):
+    return sequential.similarity(events(spark, d), "similarity", "user_id", WIDE_N, TYPE).select("edge_id", r("similarity").alias("similarity"))
+
+
+@query(f"""with e as ({E}), x as (select *, lag(value, 2) over {WK} as before from e), w as (select edge_id, corr(value, before) over {W} as c, count(before) over {W} as n, list(k) over {W} as l from x)
+select edge_id, case when n > 1 and not isnan(c) then round(c + 1e-7, 4) end as correlation, round(len(list_filter(list_distinct(l), lambda v: len(list_filter(l, lambda u: u = v)) = 1)) / len(list_distinct(l)) + 1e-7, 4) as rarity from w""")
+def autocorrelation_and_rarity(spark, d):
+    e = windows.autocorrelation(events(spark, d), "correlation", "value", 2, N, KEY)
+    return windows.exact(e, "rarity", "rarity", "k", N, KEY).select("edge_id", r("correlation").alias("correlation"), r("rarity").alias("rarity"))
+
+
 LAPSE = f"e as ({E}), x as (select edge_id, ts, user_id, event_type, coalesce(t - lag(t) over (partition by user_id, event_type order by ts, edge_id), 0) as diff from e)"
 
 
