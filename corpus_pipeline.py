@@ -54,7 +54,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("mixing", mixture), ("sharding", shards)]
-#: The first stage learns a model, which SQL can't express; tests hold near-dedup against brute force.
+#: The first stage learns a model, which SQL can't express; tests hold the stages after it, and their run, against brute force.
 ORACLE_SQL = None
 
 

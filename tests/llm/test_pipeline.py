@@ -1,11 +1,14 @@
 """Stages of the corpus pipeline against brute force."""
 
 import random
+import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rillgraph.llm import neardup
+from tests.llm.test_mixing import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -90,3 +93,91 @@ def test_near_dedup_keeps_a_row_of_every_group(spark):
     df = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in rows], SCHEMA)
     got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
     assert got == {(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (9, clean[4]), (8, clean[5])}
+
+
+LETTERS = {"aa": "abcde", "bb": "fghij"}
+
+
+def _prose(rng, lang, n):
+    return " ".join("".join(rng.choice(LETTERS[lang]) for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+
+def _items(texts, n=10):
+    """All windows of the benchmark: n consecutive words, or a shorter item whole."""
+    out = set()
+    for t in texts:
+        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())
+        out |= {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return out
+
+
+def _hit(text, windows):
+    w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
+    return any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+
+
+def _documents(rng, n=160):
+    """Documents in two languages, copies and near copies, passages of the benchmark, texts without a letter."""
+    bench = [_prose(rng, "aa", 25), _prose(rng, "bb", 4), "", None]
+    rows = [(i, _prose(rng, "ab"[i % 2] * 2, rng.randint(40, 90)), "ab"[i % 2] * 2, f"s{i % 6}") for i in range(n)]
+    rows += [(n + i, rows[i][1] + " " + _prose(rng, "aa", 1), "aa", "s0") for i in range(20)]  # near copies
+    rows += [(n + 20 + i, rows[3][1], "bb", "s1") for i in range(30)]  # exact ones
+    rows += [(n + 50 + i, _prose(rng, "aa", 30) + ". " + bench[i % 2].upper() + "! " + _prose(rng, "bb", 30), None, "s2") for i in range(8)]
+    rows += [(n + 60, None, "aa", "s0"), (n + 61, "", "bb", None), (n + 62, "12 ?!", "aa", "s3"), (None, _prose(rng, "aa", 50), "aa", None), (5, _prose(rng, "bb", 50), "bb", "s1")]
+    return [(*r, len(r[1] or "")) for r in rows], bench
+
+
+def _order(r):
+    return r[0] is None, r[0] or 0, r[1] or ""
+
+
+def _plain(df):
+    return sorted((tuple(r) for r in df.select(*corpus_pipeline.COLUMNS).collect()), key=_order)
+
+
+def test_language_stage_drops_texts_without_letters_only(spark):
+    rows, _ = _documents(random.Random(11))
+    df = spark.createDataFrame([(i, t, lang, s, n) for i, t, lang, s, n in rows], SCHEMA).withColumn("score", F.lit("mine"))
+    got = corpus_pipeline.language_id(spark, df, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert _plain(got) == sorted((r for r in rows if any(c.isalpha() for c in r[1] or "")), key=_order)
+    assert corpus_pipeline.language_id(spark, df.limit(0), "").count() == 0
+
+
+def test_decontamination_stage_against_brute_force(spark, tmp_path):
+    rows, bench = _documents(random.Random(12))
+    spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(bench)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows += [(None, bench[0], "aa", "s1", 1), (5, bench[0] + " and more", "aa", "s1", 1)]  # a null id, and an id that a clean text has too
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.decontamination(spark, df.withColumns({"_id": F.lit(1), "contaminated": F.lit(2)}), str(tmp_path))
+    want = sorted((r for r in rows if not _hit(r[1], _items(bench))), key=_order)
+    assert got.columns == corpus_pipeline.COLUMNS and _plain(got) == want and len(rows) - len(want) == 10
+    assert corpus_pipeline.decontamination(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_mixing_stage_against_brute_force(spark):
+    rows, _ = _documents(random.Random(13))
+    want = brute([(i, t, lang, s) for i, t, lang, s, _ in rows], corpus_pipeline.FRACTION, corpus_pipeline.EPOCHS)
+    got = corpus_pipeline.mixture(spark, spark.createDataFrame(rows, SCHEMA).withColumn("budget", F.lit("mine")), "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=lambda r: _order(r)) == sorted(((i, t) for i, t, *_ in want.elements()), key=lambda r: _order(r))
+
+
+def test_all_stages(spark, tmp_path):
+    """Every stage takes effect in a run, and the last keeps all rows that the fourth leaves."""
+    rows, bench = _documents(random.Random(14))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(bench)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    group = _classes([t for _, t, *_ in docs])
+    docs = [min((r for r, g in zip(docs, group, strict=True) if g == k), key=_order) for k in sorted(set(group))]
+    docs = [r for r in docs if not _hit(r[1], _items(bench))]
+    want = brute([(i, t, lang, s) for i, t, lang, s, _ in docs], corpus_pipeline.FRACTION, corpus_pipeline.EPOCHS)
+    assert sorted(((r.doc_id, r.text) for r in out), key=_order) == sorted(((i, t) for i, t, *_ in want.elements()), key=_order)
+    shards = {}
+    for r in out:
+        shards.setdefault(r.shard, []).append(r)
+    assert len(shards) == corpus_pipeline.SHARDS and all(sorted(r.slot for r in b) == list(range(len(b))) for b in shards.values())
+    sizes = [sum(r["size"] for r in b) for b in shards.values()]
+    assert max(sizes) - min(sizes) < 2 * max(r["size"] for r in out)
