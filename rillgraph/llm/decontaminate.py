@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import lower_ascii, table
+from rillgraph.llm.common import cut, discard, lower_ascii, table
 
 NAME = "op3_decontaminate"
 WINDOW = 10
@@ -58,10 +58,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
     A single scan of the documents: words are sieved inside the row by a bit array of fixed size, survivors carry the words
     near them, and the grouping key is (id, MD5 of the text), so repeated rows give equal rows. Windows are broadcast only if
-    counted to be at most MOST_BROADCAST, else the join shuffles and AQE splits a hot token. Null or wordless texts have no
+    counted to be at most MOST_BROADCAST, else the join shuffles and AQE splits a hot token; they are a table in the shared
+    folder, which common.sweep removes once the result is consumed. Null or wordless texts have no
     words and no hits, null or wordless items no windows; either table may be empty. Other columns are not read.
     """
-    wins = item_windows(benchmark, window, item_col, item_text).persist()
+    wins = cut(item_windows(benchmark, window, item_col, item_text), "windows")
     vocab = wins.select(F.explode("win").alias("tok")).distinct()
     n_wins, n_vocab = wins.count(), vocab.count()
     small = F.broadcast if n_wins <= MOST_BROADCAST else (lambda x: x)
@@ -72,8 +73,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     rank = vocab.join(seen, "tok", "left").select("tok", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.md5(F.col("tok").cast("binary")).alias("h"), "tok").alias("rank"))
     ranked = wins.select("win", "items", F.posexplode("win").alias("at", "tok")).join(tiny(rank), "tok")
     ranked = ranked.groupBy("win").agg(F.min(F.struct("rank", "at")).alias("p"), F.first("items").alias("items"))
-    prefix = ranked.select(F.col("p.rank.tok").alias("tok"), F.col("p.at").alias("at"), "win", F.size("win").alias("len"), "items").persist()
-    prefix.count()
+    prefix = cut(ranked.select(F.col("p.rank.tok").alias("tok"), F.col("p.at").alias("at"), "win", F.size("win").alias("len"), "items"), "prefixes")
+    discard(wins)  # prefix has them
     may_start = _sieve(prefix.select("tok").distinct(), "tok")
     near = F.transform("w", lambda w, i: F.when(may_start(w), i))
     own = F.expr("array(named_struct('pos', cast(null as int), 'tok', cast(null as string), 'near', cast(null as array<string>)))")  # one for each row
