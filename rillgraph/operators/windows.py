@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -58,9 +60,17 @@ FRAME = 32
 BLOCKWISE = ("sum", "simplesum", "ave", "var", "stddev", "max", "min", "count", "l2norm", "countdistinct")
 
 
-def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
-    """df with feature `name`. Equal (keys, order) share one exchange, whatever n. Nulls are left out, as in Spark's aggregates."""
+def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER, ranges: int = 0) -> DataFrame:
+    """df with feature `name`. Equal (keys, order) share one exchange, whatever n. Nulls are left out, as in Spark's aggregates.
+
+    A key's rows are sorted in one task. With `ranges` each key is parted into so many ranges of the order instead, and then
+    into blocks of n rows: for the one group without keys, or keys that hold a large share of all rows. The result is the
+    same; it costs a pass for the ranges and two more exchanges."""
     c = F.col(value) if isinstance(value, str) else value
+    if ranges:
+        if op not in BLOCKWISE or op == "countdistinct":
+            raise ValueError(f"{op} isn't computed from blocks")
+        return _blockwise(df, name, op, c, n, keys, order, ranges)
     if n > FRAME and op in BLOCKWISE:
         return distinct(df, name, c, n, keys, order) if op == "countdistinct" else _blockwise(df, name, op, c, n, keys, order)
     return df.withColumn(name, EXACT[op](c, last_rows(n, keys, order)))
@@ -74,14 +84,42 @@ def merged_deviation(parts: list[tuple[Column, Column, Column]]) -> Column:
     return sum(each[1:], each[0])
 
 
-def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def place(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str] = ORDER, ranges: int = 64) -> DataFrame:
+    """df with `name`: the place (from 0) of each row in its key, as a row number over the key would give.
+
+    The first column of the order (a number or time) is cut at `ranges` quantiles, the same for all keys. Rows are numbered
+    inside (key, range) and raised by the rows that the key has in the ranges before: a key of any size is spread, unless its
+    rows share one value of that column. The ranges and their counts are all that is gathered."""
+    at, all_, rows, before = private(df, "range", "all", "rows", "before")
+    t = F.col(order[0]).cast("double")  # keeps the order; equal images stay together
+    found = df.select(F.percentile_approx(t, [j / ranges for j in range(1, ranges)])).first()[0] if ranges > 1 else None
+    cuts = sorted(set(found or []))
+
+    def range_of(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(t < cuts[mid], range_of(lo, mid)).otherwise(range_of(mid + 1, hi))
+
+    ks = list(keys) or [all_]
+    d = df.withColumns({at: F.when(t.isNull(), -1).otherwise(range_of(0, len(cuts))), all_: F.lit(0)})  # nulls come first
+    counts = d.groupBy(*ks, at).agg(F.count(F.lit(1)).alias(rows))
+    counts = counts.withColumn(before, F.coalesce(F.sum(rows).over(Window.partitionBy(*ks).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    other = [f"{x}_{j}" for j, x in enumerate(private(df, *["key"] * (len(ks) + 1)))]
+    counts = counts.select(*[F.col(f"`{k}`").alias(o) for k, o in zip([*ks, at], other, strict=True)], before)
+    d = d.withColumn(rows, F.row_number().over(Window.partitionBy(*ks, at).orderBy(*order)) - 1)
+    d = d.join(counts, reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(o)) for k, o in zip([*ks, at], other, strict=True)]))
+    return d.withColumn(name, F.col(rows) + F.col(before)).select(*kept(df, name))
+
+
+def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str], ranges: int = 0) -> DataFrame:
     """Blocks of n rows of a key: a window is the end of one block and the beginning of the next. Both are running aggregates
     inside the block, forwards and backwards, so nothing is subtracted and nothing is computed twice."""
     v, i, b = private(df, "value", "row", "block")
     ks = list(keys) or [F.lit(0)]
     w = key_window(keys, order)
-    d = df.withColumns({v: c * c if op == "l2norm" else c, i: F.row_number().over(w) - 1})
-    d = d.withColumn(b, F.floor(F.col(i) / n))
+    d = place(df, i, keys, order, ranges) if ranges else df.withColumn(i, F.row_number().over(w) - 1)
+    d = d.withColumns({v: c * c if op == "l2norm" else c, b: F.floor(F.col(i) / n)})
     there = Window.partitionBy(*ks, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy(*ks, b).orderBy(*[F.desc(x) for x in order]).rowsBetween(Window.unboundedPreceding, 0)
     of = {"max": [F.max], "min": [F.min], "count": [F.count], "ave": [F.count, F.sum], "var": [F.count, F.sum, F.var_pop], "stddev": [F.count, F.sum, F.var_pop]}.get(op, [F.sum])
@@ -89,7 +127,15 @@ def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Seque
     d = d.withColumns({x: f(F.col(v)).over(there) for x, f in zip(head, of, strict=True)})
     d = d.withColumns({x: f(F.col(v)).over(back) for x, f in zip(tail, of, strict=True)})
     whole = F.col(i) % n == n - 1  # the window is the row's own block
-    d = d.withColumns({x: F.when(~whole, F.lag(x, n - 1).over(w)) for x in tail})
+    if ranges:  # the end of the block before meets this block's rows by their places
+        one, at = private(d, "all", "at")
+        on = [*(keys or [one]), at]
+        d = d.withColumns({one: F.lit(0), at: F.col(i)})
+        ends = d.where(F.col(i) % n > 0).select(*[(F.col(f"`{k}`") + (n - 1) if k == at else F.col(f"`{k}`")).alias(f"{one}_{j}") for j, k in enumerate(on)], *[F.col(x).alias(f"{x}_before") for x in tail])
+        d = d.drop(*tail).join(ends, reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"{one}_{j}")) for j, k in enumerate(on)]), "left")
+        d = d.withColumnsRenamed({f"{x}_before": x for x in tail})
+    else:
+        d = d.withColumns({x: F.when(~whole, F.lag(x, n - 1).over(w)) for x in tail})
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     total = lambda j: F.when(F.col(head[j]).isNotNull() | F.col(tail[j]).isNotNull(), zero(head[j]) + zero(tail[j]))
     if op in ("max", "min"):

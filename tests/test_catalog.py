@@ -9,7 +9,7 @@ from rillgraph import catalog, catalog_io  # noqa: F401  (its queries join the c
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose rows are too few at the smallest scale; the windows of some don't fill there.
-LARGER = {"temporal_triangles", "triangle_count", "vertex_constraints", "exact_features_500", "self_similarity_500", "match_lines", "vertex_constant", "stream_paths", "feature_lookup", "eh_features_500", "language_members", "language_vertex_info", "language_subgraph", "two_edge_path"}
+LARGER = {"temporal_triangles", "triangle_count", "vertex_constraints", "exact_features_500", "self_similarity_500", "one_group_500", "match_lines", "vertex_constant", "stream_paths", "feature_lookup", "eh_features_500", "language_members", "language_vertex_info", "language_subgraph", "two_edge_path"}
 
 
 def plain(v):

@@ -182,3 +182,19 @@ def test_autocorrelation_and_rarity(spark):
     assert col(windows.autocorrelation(rows(spark, [2.0] * 4), "c", "v", 1, 4, ["key"]), "c") == [None] * 4
     assert col(windows.exact(d, "r", "rarity", "v", 3, ["key"]), "r") == [1.0, 1.0, 1.0, 1.0, 0.5, 0.0, 1.0]
     assert col(windows.exact(rows(spark, [None]), "r", "rarity", "v", 3, ["key"]), "r") == [None]
+
+
+@pytest.mark.parametrize("op", [x for x in windows.BLOCKWISE if x != "countdistinct"])
+def test_ranges_give_the_same(spark, op):
+    """A key over several ranges, ties of the order's first column, nulls in it, in the key and in the values."""
+    x = [None if i % 11 == 3 or 60 < i < 90 else float((i * i * 7) % 29) for i in range(180)]
+    d = rows(spark, x).withColumns({"key": F.when(F.col("edge_id") % 7 == 0, None).when(F.col("edge_id") % 3 == 0, "b").otherwise("a"), "ts": F.when(F.col("edge_id") > 4, F.floor(F.col("edge_id") / 9)), "__at": F.lit(1)})
+    for keys in (["key"], []):
+        want = d.withColumn("f", windows.EXACT[op](F.col("v"), windows.last_rows(10, keys)))
+        got = windows.exact(d, "f", op, "v", 10, keys, ranges=6)
+        assert got.columns == want.columns
+        for a, b in zip(col(got, "f"), col(want, "f"), strict=True):
+            assert a == b if b is None else a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    assert windows.exact(d.limit(0), "f", op, "v", 10, [], ranges=6).count() == 0
+    with pytest.raises(ValueError):
+        windows.exact(d, "f", "median", "v", 10, [], ranges=6)
