@@ -29,3 +29,31 @@ def test_follow_and_distinct(spark, tmp_path):
     got = drain(stateful.follow(s(), s(), "dst", "src", 10), "follow")
     assert [(r.a_edge_id, r.b_edge_id) for r in got.collect()] == [(0, 1)]
     assert drain(stateful.distinct_within(s(), ["src", "dst"], "1 hour"), "seen").count() == 3
+
+
+def _batches(spark, path, parts):
+    """One file, and so one micro-batch, for each part."""
+    for i, d in enumerate(parts):
+        d.coalesce(1).write.parquet(str(path / f"in/{i}"))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path / "in"))
+
+
+def test_state_passes_from_batch_to_batch(spark, tmp_path):
+    e = spark.range(120).select(F.col("id").alias("edge_id"), F.timestamp_seconds(F.col("id") + 1000).alias("ts"), (F.col("id") % 2).alias("key"), (F.col("id") * 7 % 11).cast("double").alias("value"))
+    steps = {"s": stateful.STEPS["ave"](5), "m": stateful.STEPS["median"](4), "h": stateful.histogram_step(10, 2, "var"), "t": stateful.topk_step(10, 5, 2), "p": stateful.STEPS["prev"](), "d": stateful.distinct_step(10)}
+    names = ["edge_id", *steps]
+    plain = lambda d: [tuple(None if x != x else x for x in r) for r in d.select(*names).orderBy("edge_id").collect()]
+    many = plain(drain(stateful.windowed(_batches(spark, tmp_path / "a", [e.where(f"edge_id div 17 = {i}") for i in range(8)]), ["key"], "value", steps), "many"))
+    one = plain(drain(stateful.windowed(_batches(spark, tmp_path / "b", [e]), ["key"], "value", steps), "one"))
+    assert many == one and len(one) == 120 and many[-1][1] is not None
+
+
+def test_a_key_is_forgotten(spark, tmp_path):
+    """Key 1 pauses beyond the limit; the key whose rows go on keeps its state."""
+    row = lambda i, s, k: (i, s, k, 1.0)
+    parts = [[row(0, 0, 1), row(1, 0, 2)], [row(2, 500, 2)], [row(3, 900, 2)], [row(4, 1300, 2)], [row(5, 1301, 1), row(6, 1302, 2)]]
+    frames = [spark.createDataFrame(p, "edge_id long, s long, key long, value double").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s") for p in parts]
+    for forget, last in ((600.0, 1.0), (None, 2.0)):
+        out = drain(stateful.windowed(_batches(spark, tmp_path / str(forget), frames), ["key"], "value", {"s": stateful.STEPS["sum"](10)}, late="1 second", forget=forget), f"forgotten_{last:.0f}")
+        got = {r.edge_id: r.s for r in out.collect()}
+        assert (got[5], got[6]) == (last, 5.0)
