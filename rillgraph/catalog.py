@@ -198,6 +198,16 @@ def block_topk(spark, d):
     return _top(spark, d).select("edge_id", F.array_join(topk.keys_of("top"), ",").alias("top_keys"), r(topk.value_at("top", 0)).alias("top1"), r(topk.value_at("top", 1)).alias("top2"))
 
 
+ONE_GROUP = TOPK.replace(f"e as ({E})", f"e as (select * replace (0 as user_id) from ({E}))")
+
+
+@query(f"with {ONE_GROUP} select edge_id, array_to_string(vs, ',') as top_keys, round(fs[1] + 1e-7, 4) as top1 from t")
+def one_group_topk(spark, d):
+    """Top-k over the whole stream, in blocks that are numbered in ranges."""
+    e = topk.topk(events(spark, d), "top", "event_type", TN, B, TOP, [], ranges=32)
+    return e.select("edge_id", F.array_join(topk.keys_of("top"), ",").alias("top_keys"), r(topk.value_at("top", 0)).alias("top1"))
+
+
 @query(f"with {TOPK} select edge_id, user_id, event_type from t where round(fs[1] + fs[2], 9) > 0.7")
 def filter_on_topk(spark, d):
     return transform.keep(_top(spark, d), F.round(topk.value_at("top", 0) + topk.value_at("top", 1), 9) > 0.7).select("edge_id", "user_id", "event_type")

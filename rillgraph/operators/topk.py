@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillgraph.operators.windows import ORDER, key_window
+from rillgraph.operators.windows import ORDER, key_window, place
 
 
 def dormant(n: int, b: int) -> int:
@@ -17,16 +17,18 @@ def dormant(n: int, b: int) -> int:
     return n // b - 1
 
 
-def topk(df: DataFrame, name: str, value: str, n: int, b: int, k: int, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
+def topk(df: DataFrame, name: str, value: str, n: int, b: int, k: int, keys: Sequence[str], order: Sequence[str] = ORDER, ranges: int = 0) -> DataFrame:
     """df with `name`: array<struct<key, frequency>>, by frequency down, then key; null until a block of the key is frozen.
 
     Counted once for each (key, block), not for each row: a block's top k are ranked, handed to the windows that retain the
-    block (at most N / b of them), summed there, and joined back on (key, number of frozen blocks).
+    block (at most N / b of them), summed there, and joined back on (key, number of frozen blocks). With `ranges` a key's rows
+    are numbered in so many ranges of the order (windows.place), so that no task holds a whole key.
     """
     held = dormant(n, b)
     ks = [F.col(c) for c in keys] or [F.lit(0)]
     names = [f"_k{i}" for i in range(len(ks))]
-    d = df.withColumns(dict(zip(names, ks, strict=True)) | {"_n": F.row_number().over(key_window(keys, order))})
+    d = place(df, "_n", keys, order, ranges).withColumn("_n", F.col("_n") + 1) if ranges else df.withColumn("_n", F.row_number().over(key_window(keys, order)))
+    d = d.withColumns(dict(zip(names, ks, strict=True)))
     d = d.withColumn("_b", F.floor((F.col("_n") - 1) / b).cast("long"))
     counts = d.groupBy(*names, "_b", F.col(value).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*names, "_b").orderBy(F.col("_c").desc(), "_v"))).where(F.col("_r") <= k)

@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A path under spark.checkpoint.dir that nothing uses yet. Where that is unset, a temporary folder of this machine is set,
-    but only if driver and executors are one process; on a cluster that is an error."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a temporary folder of this machine is set, but only if driver and executors
+    are one process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='rillgraph-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path there that nothing uses yet."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
