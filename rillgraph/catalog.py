@@ -152,9 +152,9 @@ def exact_features_10000(spark, d):
 @query(f"with e as ({E}) select edge_id, round(sum(value) over w + 1e-7, 3) as sum_value, round(var_pop(value) over w + 1e-7, 3) as var_value, max(value) over w as max_value from e window w as (order by ts, edge_id rows between {WIDE_N - 1} preceding and current row)")
 def one_group_500(spark, d):
     """Windows over the whole stream: no task sorts all of it."""
-    e = events(spark, d)
+    e = windows.place(events(spark, d), "at", [], ranges=32)
     for op in ("sum", "var", "max"):
-        e = windows.exact(e, f"{op}_value", op, "value", WIDE_N, [], ranges=32)
+        e = windows.exact(e, f"{op}_value", op, "value", WIDE_N, [], ranges="at")
     return e.select("edge_id", r("sum_value", 3).alias("sum_value"), r("var_value", 3).alias("var_value"), "max_value")
 
 

@@ -57,15 +57,18 @@ def register_operator(name: str, fn: Callable[[Column, WindowSpec], Column]) ->
 
 #: Windows of more rows are computed from blocks, at a cost for each row that doesn't depend on n; smaller ones by frames.
 FRAME = 32
+#: Rows of a chain that one task holds at a time, where a key is spread.
+CHUNK = 1 << 16
 BLOCKWISE = ("sum", "simplesum", "ave", "var", "stddev", "max", "min", "count", "l2norm", "countdistinct")
 
 
-def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER, ranges: int = 0) -> DataFrame:
+def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER, ranges: int | str = 0) -> DataFrame:
     """df with feature `name`. Equal (keys, order) share one exchange, whatever n. Nulls are left out, as in Spark's aggregates.
 
     A key's rows are sorted in one task. With `ranges` each key is parted into so many ranges of the order instead, and then
     into blocks of n rows: for the one group without keys, or keys that hold a large share of all rows. The result is the
-    same; it costs a pass for the ranges and two more exchanges."""
+    same; it costs a pass for the ranges and more exchanges. Several features share the pass if `ranges` names a column that
+    place() has made."""
     c = F.col(value) if isinstance(value, str) else value
     if ranges:
         if op not in BLOCKWISE or op == "countdistinct":
@@ -112,13 +115,16 @@ def place(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str] =
     return d.withColumn(name, F.col(rows) + F.col(before)).select(*kept(df, name))
 
 
-def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str], ranges: int = 0) -> DataFrame:
+def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str], ranges: int | str = 0) -> DataFrame:
     """Blocks of n rows of a key: a window is the end of one block and the beginning of the next. Both are running aggregates
     inside the block, forwards and backwards, so nothing is subtracted and nothing is computed twice."""
     v, i, b = private(df, "value", "row", "block")
     ks = list(keys) or [F.lit(0)]
     w = key_window(keys, order)
-    d = place(df, i, keys, order, ranges) if ranges else df.withColumn(i, F.row_number().over(w) - 1)
+    if isinstance(ranges, str):
+        d = df.withColumn(i, F.col(ranges))
+    else:
+        d = place(df, i, keys, order, ranges) if ranges else df.withColumn(i, F.row_number().over(w) - 1)
     d = d.withColumns({v: c * c if op == "l2norm" else c, b: F.floor(F.col(i) / n)})
     there = Window.partitionBy(*ks, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy(*ks, b).orderBy(*[F.desc(x) for x in order]).rowsBetween(Window.unboundedPreceding, 0)
@@ -127,13 +133,13 @@ def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Seque
     d = d.withColumns({x: f(F.col(v)).over(there) for x, f in zip(head, of, strict=True)})
     d = d.withColumns({x: f(F.col(v)).over(back) for x, f in zip(tail, of, strict=True)})
     whole = F.col(i) % n == n - 1  # the window is the row's own block
-    if ranges:  # the end of the block before meets this block's rows by their places
-        one, at = private(d, "all", "at")
-        on = [*(keys or [one]), at]
-        d = d.withColumns({one: F.lit(0), at: F.col(i)})
-        ends = d.where(F.col(i) % n > 0).select(*[(F.col(f"`{k}`") + (n - 1) if k == at else F.col(f"`{k}`")).alias(f"{one}_{j}") for j, k in enumerate(on)], *[F.col(x).alias(f"{x}_before") for x in tail])
-        d = d.drop(*tail).join(ends, reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"{one}_{j}")) for j, k in enumerate(on)]), "left")
-        d = d.withColumnsRenamed({f"{x}_before": x for x in tail})
+    if ranges and n > 1:  # every (n - 1)th row follows the other, in chunks of which each passes its last row on to the next
+        again, chunk = private(d, "again", "chunk")
+        step = F.floor(F.col(i) / (n - 1))
+        d = d.withColumn(again, F.explode(F.when(step % CHUNK == CHUNK - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        d = d.withColumn(chunk, F.floor(step / CHUNK) + F.col(again))
+        chain = Window.partitionBy(*ks, F.col(i) % (n - 1), chunk).orderBy(i)
+        d = d.withColumns({x: F.when(~whole, F.lag(x).over(chain)) for x in tail}).where(F.col(again) == 0)
     else:
         d = d.withColumns({x: F.when(~whole, F.lag(x, n - 1).over(w)) for x in tail})
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))

@@ -185,13 +185,16 @@ def test_autocorrelation_and_rarity(spark):
 
 
 @pytest.mark.parametrize("op", [x for x in windows.BLOCKWISE if x != "countdistinct"])
-def test_ranges_give_the_same(spark, op):
+def test_ranges_give_the_same(spark, monkeypatch, op):
     """A key over several ranges, ties of the order's first column, nulls in it, in the key and in the values."""
     x = [None if i % 11 == 3 or 60 < i < 90 else float((i * i * 7) % 29) for i in range(180)]
     d = rows(spark, x).withColumns({"key": F.when(F.col("edge_id") % 7 == 0, None).when(F.col("edge_id") % 3 == 0, "b").otherwise("a"), "ts": F.when(F.col("edge_id") > 4, F.floor(F.col("edge_id") / 9)), "__at": F.lit(1)})
+    monkeypatch.setattr(windows, "CHUNK", 3)
+    assert col(windows.place(d, "p", [], ranges=4), "p") == col(d.withColumn("p", F.row_number().over(windows.key_window([])) - 1), "p")
     for keys in (["key"], []):
         want = d.withColumn("f", windows.EXACT[op](F.col("v"), windows.last_rows(10, keys)))
         got = windows.exact(d, "f", op, "v", 10, keys, ranges=6)
+        assert windows.exact(d, "f", op, "v", 1, keys, ranges=6).count() == 180
         assert got.columns == want.columns
         for a, b in zip(col(got, "f"), col(want, "f"), strict=True):
             assert a == b if b is None else a == pytest.approx(b, rel=1e-9, abs=1e-9)
