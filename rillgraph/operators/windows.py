@@ -37,12 +37,25 @@ EXACT: dict[str, Callable[[Column, WindowSpec], Column]] = {
     "median": lambda c, w: F.percentile(c, F.lit(0.5)).over(w),
     "count": lambda c, w: F.count(c).over(w),
     "countdistinct": lambda c, w: F.size(F.collect_set(c).over(w)).cast("long"),
-    "approxdistinct": lambda c, w: F.approx_count_distinct(c).over(w),
+    "approxdistinct": lambda c, w: _sketched(F.size(F.collect_set(_hash(c)).over(w)).cast("long"), c, w),
     "l2norm": lambda c, w: F.sqrt(F.sum(c * c).over(w)),
     "rarity": lambda c, w: _rarity(F.collect_list(c).over(w)),
 }
 
 
+#: Hashes that the distinct sketch holds one by one before it turns to registers: as many bits as its 512 registers of 6.
+SPARSE = 48
+
+
+def _hash(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
+def _sketched(held: Column, c: Column, w: WindowSpec) -> Column:
+    """HyperLogLog++ with its sparse form, which Spark's lacks: among 512 registers even ten values share some now and then."""
+    return F.when(held <= SPARSE, held).otherwise(F.approx_count_distinct(c).over(w))
+
+
 def _rarity(values: Column) -> Column:
     """The share of the distinct values that occur once; null without values. Costs a comparison for each pair of values."""
     different = F.array_distinct(values)
@@ -76,6 +89,10 @@ def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys:
         return _blockwise(df, name, op, c, n, keys, order, ranges)
     if n > FRAME and op in BLOCKWISE:
         return distinct(df, name, c, n, keys, order) if op == "countdistinct" else _blockwise(df, name, op, c, n, keys, order)
+    if n > FRAME and op == "approxdistinct":
+        (held,) = private(df, "held")
+        d = distinct(df, held, _hash(c), n, keys, order)
+        return d.withColumn(name, _sketched(F.col(held), c, last_rows(n, keys, order))).select(*kept(df, name))
     return df.withColumn(name, EXACT[op](c, last_rows(n, keys, order)))
 
 

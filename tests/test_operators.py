@@ -201,3 +201,16 @@ def test_ranges_give_the_same(spark, monkeypatch, op):
     assert windows.exact(d.limit(0), "f", op, "v", 10, [], ranges=6).count() == 0
     with pytest.raises(ValueError):
         windows.exact(d, "f", "median", "v", 10, [], ranges=6)
+
+
+@pytest.mark.parametrize("n", [10, 40, 300])
+def test_distinct_sketch_of_few_values(spark, n):
+    """Few values are counted one by one, in narrow and wide windows; many are estimated within three standard errors."""
+    x = [None if i % 17 == 5 else float(i % 12 + 1000 * (i // 300)) for i in range(3000)] + [float(10_000 + i) for i in range(400)]
+    d = rows(spark, x).withColumn("__held", F.lit(1))
+    got = windows.exact(d, "f", "approxdistinct", "v", n, ["key"])
+    assert got.columns == [*d.columns, "f"]
+    for i, f in enumerate(col(got, "f")):
+        want = len({v for v in x[max(0, i + 1 - n) : i + 1] if v is not None})
+        assert f == want if want <= 48 else abs(f - want) <= 0.15 * want
+    assert windows.exact(d.limit(0), "f", "approxdistinct", "v", n, ["key"]).count() == 0
