@@ -1,7 +1,9 @@
-"""Groups of near copies: MinHash bands give candidates, exact Jaccard similarity of word shingles links them."""
+"""Groups of near copies: SimHash fingerprints in vantage-point trees give candidates, MinHash bands those that lie beyond
+the radius, exact Jaccard similarity of word shingles links them."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillgraph.llm.common import components, cut, discard
+from rillgraph.llm.common import components, cut, discard, tiled
+from rillgraph.llm.simhash import forest
 
 #: Texts are near copies if the Jaccard similarity of their sets of SHINGLE words is LEAST or more.
 SHINGLE, LEAST = 5, 0.8
+#: Sizes of similar sets differ by a factor of 1 / LEAST at most; a shard of the SimHash search spans a STEPS-th power of it.
+STEPS = 4
+#: A shard of more fingerprints (32 bytes each) becomes a grid of tasks. The bound is a PARTS-th of all between these two: a grid
+#: then sends each fingerprint a number of times that doesn't grow with the input.
+PARTS, LEAST_ROWS, MOST_ROWS = 64, 1 << 16, 1 << 19
 #: A pair at similarity s shares no band with chance (1 - s^ROWS)^BANDS: 5e-7 at 0.8, 2e-18 at 0.9.
 BANDS, ROWS = 48, 6
 #: A task compares at most so many texts with as many others, fewer if a text of theirs has many shingles.
@@ -37,6 +45,20 @@ def shingles(toks: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """SimHash of a set of shingles as op8 has it of a sequence: a bit is 1 if it is set in over half of the set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 65_536):  # bounded memory for texts of any length
+        ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
+def second(h: np.ndarray) -> int:
+    """Another fingerprint, of the shingles hashed once more: chance pairs of a large input that agree in one differ in it."""
+    x = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return fingerprint((x ^ (x >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def bands(h: np.ndarray) -> np.ndarray:
     """A key for each band of minima over seeded permutations; none for an empty set."""
     if not len(h):
@@ -48,24 +70,52 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def _mark(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with `_row` (unique), `_node` (XXH64 of the words: equal texts are one node), `_n` shingles and `_bands`."""
+    """docs with `_row` (unique), `_node` (XXH64 of the words: equal texts are one node), `_n` shingles, `_fp`, `_second` and `_bands`."""
     d = docs.withColumn("_row", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, keys = np.empty(b.num_rows, np.uint64), [], []
+            node, fp, other, size, keys = *(np.empty(b.num_rows, np.uint64) for _ in range(3)), [], []
             for i, t in enumerate(b.column(text_col)):
                 toks = words(t.as_py())
                 h = shingles(toks)
                 node[i] = xxhash.xxh64_intdigest(b" ".join(toks), 1)
+                fp[i], other[i] = fingerprint(h), second(h)
                 size.append(len(h))
                 keys.append(bands(h))
             at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node.view(np.int64)), pa.array(size, pa.int64()), lists], names=[*b.schema.names, "_node", "_n", "_bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node.view(np.int64)), pa.array(size, pa.int64()), pa.array(fp.view(np.int64)), pa.array(other.view(np.int64)), lists], names=[*b.schema.names, "_node", "_n", "_fp", "_second", "_bands"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return cut(d.mapInArrow(run, schema + ", _node long, _n long, _bands array<long>"), "marked")
+    return cut(d.mapInArrow(run, schema + ", _node long, _n long, _fp long, _second long, _bands array<long>"), "marked")
+
+
+def fingerprint_links(marked: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that join the same nodes as all pairs of SimHash similarity `least` or more (12 of 64 bits differ at 0.8)
+    whose sizes allow that similarity of their sets, and of which at most twice as many bits differ in the second fingerprint.
+
+    The first vantage is the empty text, from which a text lies as far as it has shingles: shards are ranges of that distance,
+    and a node is a point of its own shard and a query there and in the STEPS shards before. A ball of this radius would overlap
+    nearly every shard of a tree of fingerprints. Inside a shard, or a tile of its grid, a vantage-point tree over the
+    points' fingerprints is descended by all queries, and a spanning forest is reported, as in op8."""
+    radius = int(64 * (1 - least))
+    nodes = cut(marked.where("_n > 0").groupBy("_node").agg(F.min("_fp").alias("fp"), F.min("_second").alias("second"), F.min("_n").alias("n")), "fingerprints")
+    most = max(LEAST_ROWS, min(MOST_ROWS, nodes.count() // PARTS))
+    own = F.floor(F.log(F.col("n")) * (STEPS / -math.log(least))).cast("int")
+    sent = nodes.select("*", own.alias("own")).withColumn("shard", F.explode(F.expr(f"sequence(own - {STEPS}, own)"))).withColumn("home", F.col("shard") == F.col("own")).drop("own")
+
+    def search(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_node", "ascending"), ("_point", "ascending")])
+        node, fp, other, n, point, query = (t.column(c).to_numpy() for c in ("_node", "fp", "second", "n", "_point", "_query"))
+        fp, other = fp.view(np.uint64), other.view(np.uint64)
+        fit = lambda a, b: (np.bitwise_count(other[a] ^ other[b]) <= 2 * radius) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
+        u, v = forest(node, fp, point.astype(bool), query.astype(bool), radius, fit)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    found = cut(tiled(sent, "shard", "home", most).groupBy("shard", "_tile").applyInArrow(search, "u long, v long"), "near")
+    discard(nodes)
+    return found
 
 
 def links_of(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -141,22 +191,25 @@ def groups(docs: DataFrame, text_col: str = "text", least: float = LEAST) -> tup
     """(docs with `_row` (unique) and `_node` (of equal texts), (node, root) of the nodes that links of similarity `least` or more
     join to others). The component of a row is its node's root, or its node where it has none.
 
-    Words are parted at ASCII white space, A-Z as lower case. Texts of equal words are one node. Nodes that share a band are
-    candidates; candidates that hang together are a cluster. A cluster's sets of shingles are compared in one task, or, if it
+    Words are parted at ASCII white space, A-Z as lower case. Texts of equal words are one node. Nodes whose SimHash fingerprints
+    of the set of shingles have a similarity of `least` or more are candidates; some similar sets lie beyond that radius, so
+    nodes that share a band of minima are candidates too. Candidates that hang together are a cluster. A cluster's sets of shingles are compared in one task, or, if it
     is large (a third of all rows may be near copies), in a grid of tiles of bounded size; each tile reports a spanning
-    forest. So every pair that shares a band is compared or already in one component, and no pairs become rows. Similarity is
+    forest. So every pair of candidates is compared or already in one component, and no pairs become rows. Similarity is
     exact on whole texts, by sets of 64-bit hashes. Texts without words are copies of each other, null texts too. Repeated
-    rows stay; empty input gives no rows. docs may have no column `_row`, `_node`, `_n` or `_bands` (ValueError).
+    rows stay; empty input gives no rows. docs may have no column `_row`, `_node`, `_n`, `_fp`, `_second` or `_bands` (ValueError).
     """
-    if {c.lower() for c in docs.columns} & {"_row", "_node", "_n", "_bands"}:
+    if {c.lower() for c in docs.columns} & {"_row", "_node", "_n", "_fp", "_second", "_bands"}:
         raise ValueError("a column has a name that is made here")
     marked = _mark(docs, text_col)
     keyed = marked.select(F.explode("_bands").alias("key"), F.col("_node").alias("node"))
     many = cut(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select("key", "a"), "many")
     n = many.count()
-    out = marked.drop("_n", "_bands")
-    if not n:
-        return out, docs.sparkSession.createDataFrame([], "node long, root long")
+    out = marked.drop("_n", "_fp", "_second", "_bands")
     meet = keyed.join(F.broadcast(many) if n <= MOST_BROADCAST else many, "key").select(F.col("node").alias("u"), F.col("a").alias("v")).where("u != v").distinct()
-    clusters = components(meet).select("node", F.col("root").alias("cluster"))
-    return out, cut(components(_links(cut(clusters, "clusters"), marked, text_col, least)), "roots")
+    near = fingerprint_links(marked, least)
+    clusters = cut(components(meet.union(near)).select("node", F.col("root").alias("cluster")), "clusters")
+    discard(many, near)
+    if clusters.isEmpty():
+        return out, clusters.select("node", F.col("cluster").alias("root"))
+    return out, cut(components(_links(clusters, marked, text_col, least)), "roots")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,12 +120,16 @@ def near_pairs(points: np.ndarray, queries: np.ndarray, radius: int, seed: int =
             yield p[at + i], q[j]
 
 
-def forest(ids: np.ndarray, fp: np.ndarray, point: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same ids as all links between points and queries would: one for each joined row at most."""
+def forest(ids: np.ndarray, fp: np.ndarray, point: np.ndarray, query: np.ndarray, radius: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same ids as all links between points and queries would: one for each joined row at most. Pairs of
+    rows within the radius are links if `also` holds for them."""
     hub = np.arange(len(ids))
     at, to = np.nonzero(point)[0], np.nonzero(query)[0]
     for i, j in near_pairs(fp[at], fp[to], radius):
         a, b = at[i], to[j]
+        if also is not None:
+            good = also(a, b)
+            a, b = a[good], b[good]
         while len(a):  # hook larger hubs to smaller ones until this block's links are settled
             ra, rb = hub[a], hub[b]
             far = ra != rb

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -63,6 +65,33 @@ def test_near_dedup_in_tiles(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(set(_classes(texts)))
 
 
+def _bits(words):
+    """SimHash of the set of shingles: a bit is 1 if more than half of the hashes have it."""
+    hashes = [xxhash.xxh64_intdigest(" ".join(w), 42) for w in words]
+    return sum((2 * sum(h >> i & 1 for h in hashes) > len(hashes)) << i for i in range(64))
+
+
+@pytest.mark.parametrize("rows", [4096, 4])
+def test_near_dedup_searches_fingerprints(spark, monkeypatch, rows):
+    """Without the bands, near copies are those of a SimHash similarity of 0.8 or more, whatever shards and tiles they lie in."""
+    monkeypatch.setattr(neardup, "bands", lambda h: np.empty(0, np.int64))
+    monkeypatch.setattr(neardup, "LEAST_ROWS", rows, raising=False)
+    texts = _near_copies(6)
+    sets = [_shingles(t) for t in texts]
+    bits = [_bits(x) for x in sets]
+    cluster, want = list(range(len(texts))), list(range(len(texts)))
+    for group, linked in ((cluster, lambda i, j: (bits[i] ^ bits[j]).bit_count() <= 12), (want, lambda i, j: cluster[i] == cluster[j] and _similar(sets[i], sets[j]))):
+        for i in range(len(texts)):
+            for j in range(i):
+                if linked(i, j) and group[i] != group[j]:
+                    a, b = sorted((group[i], group[j]))
+                    group[:] = [a if g == b else g for g in group]
+    want = {w for w, x in zip(want, sets, strict=True) if x} | {min(i for i, x in enumerate(sets) if not x)}
+    assert 25 < len(want) < len(texts) - 20
+    df = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == sorted(want)
+
+
 def test_forest_joins_what_all_pairs_join():
     rng = np.random.default_rng(4)
     sets = []
