@@ -39,6 +39,15 @@ def test_oracle(spark, duck, name):
         assert got.first()[0] > 100
 
 
+def test_hash_functions_of_halves(spark, duck, tmp_path):
+    """Times at half a tenth of a second, and next to it: the SQL's cast takes a half to the even neighbour."""
+    con = duck[SF]
+    con.execute(f"copy (select 10 * i + j as event_id, make_timestamp(1704067200000000 + i * 3700000 * 41 + i * 100000 + 50000 + j - 1) as ts, i as user_id, 'view' as event_type, 1.0 as value, '{{\"k\": 1}}' as props from range(2000) a(i), range(3) b(j)) to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create or replace view events as select * from '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["hash_functions"](spark, str(tmp_path)).select("edge_id", "octet", "deci").collect()))
+    assert got == sorted(con.execute(f"select edge_id, octet, deci from ({catalog.ORACLES['hash_functions']})").fetchall())
+
+
 def test_entry_needs_no_subpackage(spark, tmp_path):
     import shutil
     import subprocess
