@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rillgraph.functions.columns import private
 from rillgraph.operators.histogram import held, shape
 from rillgraph.operators.sequential import RotatingDistinct, median
 from rillgraph.operators.topk import dormant
@@ -178,13 +179,26 @@ def windowed(stream: DataFrame, keys: Sequence[str], value: str, steps: dict[str
     return s.groupBy(*keys).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.EventTimeTimeout)
 
 
+#: Buckets of a stream join, in windows: an edge on the left is held once more if its window ends in the next bucket.
+STRIDE = 4
+
+
 def follow(left: DataFrame, right: DataFrame, key_left: str, key_right: str, seconds: float, late: str = "1 minute") -> DataFrame:
     """Stream-stream join of edges: right starts after left, at the same vertex, within so many seconds. The watermarks
-    let Spark drop state that can no longer match."""
+    let Spark drop state that can no longer match.
+
+    Spark's join compares a row with all that is held under its equi key. Times are therefore cut into buckets, which join
+    the vertex in the key: an edge meets those of nearby times at its vertex, however many the vertex has in all."""
     a = left.withWatermark("ts", late).select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
     b = right.withWatermark("ts", late).select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    on = (F.col(f"a_{key_left}") == F.col(f"b_{key_right}")) & (F.col("b_ts") > F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"INTERVAL {seconds} SECONDS"))
-    return a.join(b, on)
+    reach = F.expr(f"INTERVAL {seconds} SECONDS")
+    bucket = lambda t: F.floor(F.unix_micros(t) / max(1, round(STRIDE * seconds * 1e6)))
+    (near,) = private(a, "bucket")
+    (at,) = private(b, f"{near}_of")
+    a = a.withColumn(near, F.explode(F.sequence(bucket(F.col("a_ts")), bucket(F.col("a_ts") + reach))))
+    b = b.withColumn(at, bucket(F.col("b_ts")))
+    on = (F.col(f"a_{key_left}") == F.col(f"b_{key_right}")) & (F.col(near) == F.col(at)) & (F.col("b_ts") > F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + reach)
+    return a.join(b, on).drop(near, at)
 
 
 def distinct_within(stream: DataFrame, keys: Sequence[str], ttl: str, time: str = "ts") -> DataFrame:

@@ -57,3 +57,15 @@ def test_a_key_is_forgotten(spark, tmp_path):
         out = drain(stateful.windowed(_batches(spark, tmp_path / str(forget), frames), ["key"], "value", {"s": stateful.STEPS["sum"](10)}, late="1 second", forget=forget), f"forgotten_{last:.0f}")
         got = {r.edge_id: r.s for r in out.collect()}
         assert (got[5], got[6]) == (last, 5.0)
+
+
+def test_follow_meets_edges_of_nearby_times_only(spark, tmp_path):
+    """A hub with edges over a long time: the join's key holds the time too, and no pair is lost or doubled at a bucket's end."""
+    e = spark.range(400).select(F.col("id").alias("edge_id"), F.timestamp_micros(F.lit(7_000_000) + F.col("id") * F.col("id") % 997 * 250_000).alias("ts"), F.lit(1).alias("src"), F.lit(1).alias("dst"))
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = lambda: spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    made = stateful.follow(s(), s(), "dst", "src", 10)
+    got = sorted((r.a_edge_id, r.b_edge_id) for r in drain(made, "hub").collect())
+    at = {i: 7_000_000 + i * i % 997 * 250_000 for i in range(400)}
+    assert got == sorted((i, j) for i in at for j in at if at[i] < at[j] <= at[i] + 10_000_000)
+    assert "bucket" in made._jdf.queryExecution().analyzed().toString()
