@@ -46,7 +46,7 @@ def vast_files(spark, d):
     v = _vast(spark, d).withColumn("SrcTotalBytes", F.col("edge_id"))
     v = v.join(events(spark, d).select("edge_id", (F.col("event_type") == "error").cast("int").alias("Label")), "edge_id")
     path = new_folder(spark, "vast")
-    v.repartitionByRange(4, "edge_id").sortWithinPartitions("edge_id").select("Label", *VAST_NETFLOW.names).write.csv(path)
+    v.repartitionByRange("edge_id").sortWithinPartitions("edge_id").select("Label", *VAST_NETFLOW.names).write.csv(path)
     e = readers.read_csv(spark, path, VAST_NETFLOW, INT_LABEL)
     return e.select(F.col("SrcTotalBytes").alias("byte_count"), F.col("Label").alias("label"), F.col("SourceIp").alias("src"), F.row_number().over(windows.key_window(["SourceIp"], ["edge_id"])).cast("long").alias("place"))
 

@@ -48,6 +48,17 @@ def test_hash_functions_of_halves(spark, duck, tmp_path):
     assert got == sorted(con.execute(f"select edge_id, octet, deci from ({catalog.ORACLES['hash_functions']})").fetchall())
 
 
+def test_vast_files_sorts_in_as_many_ranges_as_partitions(spark, monkeypatch):
+    """The ranges that are sorted before they are written follow the session's partitions, not a fixed number."""
+    import pyspark.sql.classic.dataframe as frames
+
+    asked = []
+    real = frames.DataFrame.repartitionByRange
+    monkeypatch.setattr(frames.DataFrame, "repartitionByRange", lambda self, *args: asked.append(args) or real(self, *args))
+    assert catalog.QUERIES["vast_files"](spark, SF).count() == 1000
+    assert asked == [("edge_id",)]
+
+
 def test_entry_needs_no_subpackage(spark, tmp_path):
     import shutil
     import subprocess
