@@ -84,11 +84,15 @@ def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys:
     place() has made."""
     c = F.col(value) if isinstance(value, str) else value
     if ranges:
-        if op not in BLOCKWISE or op == "countdistinct":
+        if op not in BLOCKWISE:
             raise ValueError(f"{op} isn't computed from blocks")
-        return _blockwise(df, name, op, c, n, keys, order, ranges)
+        if op != "countdistinct":
+            return _blockwise(df, {name: op}, c, n, keys, order, ranges)
+        (at,) = [ranges] if isinstance(ranges, str) else private(df, "place")
+        d = df if isinstance(ranges, str) else place(df, at, keys, order, ranges)
+        return distinct_placed(d, name, c, F.lit(n), keys, at).select(*kept(df, name))
     if n > FRAME and op in BLOCKWISE:
-        return distinct(df, name, c, n, keys, order) if op == "countdistinct" else _blockwise(df, name, op, c, n, keys, order)
+        return distinct(df, name, c, n, keys, order) if op == "countdistinct" else _blockwise(df, {name: op}, c, n, keys, order)
     if n > FRAME and op == "approxdistinct":
         (held,) = private(df, "held")
         d = distinct(df, held, _hash(c), n, keys, order)
@@ -96,6 +100,11 @@ def exact(df: DataFrame, name: str, op: str, value: Column | str, n: int, keys:
     return df.withColumn(name, EXACT[op](c, last_rows(n, keys, order)))
 
 
+def several(df: DataFrame, names: dict[str, str], value: Column | str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER, ranges: int | str = 0) -> DataFrame:
+    """df with a feature for each name -> op of one value, as exact() gives them one by one; the blocks are passed once for all."""
+    return _blockwise(df, names, F.col(value) if isinstance(value, str) else value, n, keys, order, ranges)
+
+
 def merged_deviation(parts: list[tuple[Column, Column, Column]]) -> Column:
     """Sum of squared deviations from the common mean, of parts (rows, sum, sum of squared deviations from their own mean)."""
     rows = [p[0] for p in parts]
@@ -132,7 +141,12 @@ def place(df: DataFrame, name: str, keys: Sequence[str], order: Sequence[str] =
     return d.withColumn(name, F.col(rows) + F.col(before)).select(*kept(df, name))
 
 
-def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str], ranges: int | str = 0) -> DataFrame:
+#: What the operators are made of: running aggregates of a value.
+RUNNING = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min, "var": F.var_pop, "squares": lambda v: F.sum(v * v)}
+PARTS = {"max": ["max"], "min": ["min"], "count": ["count"], "ave": ["count", "sum"], "var": ["count", "sum", "var"], "stddev": ["count", "sum", "var"], "l2norm": ["squares"], "sum": ["sum"], "simplesum": ["sum"]}
+
+
+def _blockwise(df: DataFrame, names: dict[str, str], c: Column, n: int, keys: Sequence[str], order: Sequence[str], ranges: int | str = 0) -> DataFrame:
     """Blocks of n rows of a key: a window is the end of one block and the beginning of the next. Both are running aggregates
     inside the block, forwards and backwards, so nothing is subtracted and nothing is computed twice."""
     v, i, b = private(df, "value", "row", "block")
@@ -142,13 +156,13 @@ def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Seque
         d = df.withColumn(i, F.col(ranges))
     else:
         d = place(df, i, keys, order, ranges) if ranges else df.withColumn(i, F.row_number().over(w) - 1)
-    d = d.withColumns({v: c * c if op == "l2norm" else c, b: F.floor(F.col(i) / n)})
+    d = d.withColumns({v: c, b: F.floor(F.col(i) / n)})
     there = Window.partitionBy(*ks, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     back = Window.partitionBy(*ks, b).orderBy(*[F.desc(x) for x in order]).rowsBetween(Window.unboundedPreceding, 0)
-    of = {"max": [F.max], "min": [F.min], "count": [F.count], "ave": [F.count, F.sum], "var": [F.count, F.sum, F.var_pop], "stddev": [F.count, F.sum, F.var_pop]}.get(op, [F.sum])
-    head, tail = ([f"{x}_{j}" for j in range(len(of))] for x in private(df, "head", "tail"))
-    d = d.withColumns({x: f(F.col(v)).over(there) for x, f in zip(head, of, strict=True)})
-    d = d.withColumns({x: f(F.col(v)).over(back) for x, f in zip(tail, of, strict=True)})
+    of = list(dict.fromkeys(x for op in names.values() for x in PARTS[op]))
+    head, tail = (dict(zip(of, private(df, *[f"{side}_{x}" for x in of]), strict=True)) for side in ("head", "tail"))
+    d = d.withColumns({head[x]: RUNNING[x](F.col(v)).over(there) for x in of})
+    d = d.withColumns({tail[x]: RUNNING[x](F.col(v)).over(back) for x in of})
     whole = F.col(i) % n == n - 1  # the window is the row's own block
     if ranges and n > 1:  # every (n - 1)th row follows the other, in chunks of which each passes its last row on to the next
         again, chunk = private(d, "again", "chunk")
@@ -156,22 +170,43 @@ def _blockwise(df: DataFrame, name: str, op: str, c: Column, n: int, keys: Seque
         d = d.withColumn(again, F.explode(F.when(step % CHUNK == CHUNK - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         d = d.withColumn(chunk, F.floor(step / CHUNK) + F.col(again))
         chain = Window.partitionBy(*ks, F.col(i) % (n - 1), chunk).orderBy(i)
-        d = d.withColumns({x: F.when(~whole, F.lag(x).over(chain)) for x in tail}).where(F.col(again) == 0)
+        d = d.withColumns({x: F.when(~whole, F.lag(x).over(chain)) for x in tail.values()}).where(F.col(again) == 0)
     else:
-        d = d.withColumns({x: F.when(~whole, F.lag(x, n - 1).over(w)) for x in tail})
+        d = d.withColumns({x: F.when(~whole, F.lag(x, n - 1).over(w)) for x in tail.values()})
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    total = lambda j: F.when(F.col(head[j]).isNotNull() | F.col(tail[j]).isNotNull(), zero(head[j]) + zero(tail[j]))
-    if op in ("max", "min"):
-        out = (F.greatest if op == "max" else F.least)(head[0], tail[0])  # both skip nulls
-    elif op == "ave":
-        out = F.when(total(0) > 0, total(1) / total(0))
-    elif op in ("var", "stddev"):
-        parts = [(zero(x[0]), zero(x[1]), zero(x[2]) * zero(x[0])) for x in (head, tail)]
-        out = F.when(total(0) > 0, merged_deviation(parts) / total(0))
-        out = F.sqrt(out) if op == "stddev" else out
-    else:
-        out = F.sqrt(total(0)) if op == "l2norm" else total(0)
-    return d.withColumn(name, out).select(*kept(df, name))
+    total = lambda x: F.when(F.col(head[x]).isNotNull() | F.col(tail[x]).isNotNull(), zero(head[x]) + zero(tail[x]))
+
+    def made(op: str) -> Column:
+        if op in ("max", "min"):
+            return (F.greatest if op == "max" else F.least)(head[op], tail[op])  # both skip nulls
+        if op == "ave":
+            return F.when(total("count") > 0, total("sum") / total("count"))
+        if op in ("var", "stddev"):
+            parts = [(zero(x["count"]), zero(x["sum"]), zero(x["var"]) * zero(x["count"])) for x in (head, tail)]
+            out = F.when(total("count") > 0, merged_deviation(parts) / total("count"))
+            return F.sqrt(out) if op == "stddev" else out
+        return F.sqrt(total("squares")) if op == "l2norm" else total(PARTS[op][0])
+
+    return d.withColumns({name: made(op) for name, op in names.items()}).select(*[F.col(f"`{x}`") for x in dict.fromkeys([*df.columns, *names])])
+
+
+def distinct_placed(df: DataFrame, name: str, c: Column, n: Column, keys: Sequence[str | Column], at: str) -> DataFrame:
+    """distinct(), of rows whose places in their key (from 0) are known; no task holds more of a key, or of a value, than two
+    blocks of n rows.
+
+    Each row is also handed to the block after its own. There it counts if its block had no such value before it, which gives
+    the window at the block's beginning, and leaves n places on unless its value comes again before."""
+    v, b, own, p, q, on, first, i = private(df.withColumn(name, F.lit(0)), "value", "block", "own", "before", "after", "change", "first", "at")
+    d = df.withColumns({v: c, own: F.explode(F.array(F.lit(1), F.lit(0)))})
+    d = d.withColumn(b, F.floor(F.col(at) / n) + 1 - F.col(own))
+    same = Window.partitionBy(*keys, b, v).orderBy(at)
+    d = d.withColumns({p: F.lag(at).over(same), q: F.lead(at).over(same)})
+    mine, some, row = F.col(own) == 1, F.col(v).isNotNull(), F.col(at)
+    enters, leaves = F.col(p).isNull() | (F.col(p) <= row - n), F.col(q).isNull() | (F.col(q) >= row + n)
+    d = d.withColumns({on: (some & F.when(mine, enters).otherwise(leaves)).cast("long"), first: (some & ~mine & F.col(p).isNull()).cast("long"), i: F.when(mine, row).otherwise(row + n)})
+    so_far = Window.partitionBy(*keys, b).orderBy(i, own).rowsBetween(Window.unboundedPreceding, 0)
+    change = F.sum(F.when(mine, F.col(on)).otherwise(-F.col(on))).over(so_far)
+    return d.withColumn(name, F.sum(first).over(Window.partitionBy(*keys, b)) + change).where(mine).select(*kept(df, name))
 
 
 def distinct(df: DataFrame, name: str, c: Column, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
