@@ -15,32 +15,46 @@ from rillgraph.operators import windows
 from rillgraph.operators.windows import ORDER, key_window
 
 
-def similarity(df: DataFrame, name: str, value: str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER) -> DataFrame:
+def similarity(df: DataFrame, name: str, value: str, n: int, keys: Sequence[str], order: Sequence[str] = ORDER, ranges: int = 0) -> DataFrame:
     """Jaccard index of the two physical halves of a ring of n slots that starts as zeros: row i fills slot (i - 1) mod n.
     Null values count as 0.
 
     Counted, not gathered: the low half holds the last n // 2 rows that fell into it, so its distinct values are those of a
     window over these rows alone (carried along the rows of the other half); the high half likewise; their union is the
     window of n rows. A zero that a slot began with counts until the half is full. A row costs the same whatever n.
+    With `ranges` rows are numbered in so many ranges of the order (windows.place) and counted in blocks of n, so that no task
+    holds a whole key.
     """
     if n == 1:  # all lies in one half
         return df.withColumn(name, F.lit(0.0))
     half = n // 2
     v, i, low, some, a, b, u = private(df, "filled", "place", "low", "zeros", "own", "other", "union")
     w = key_window(keys, order)
-    d = df.withColumns({v: F.coalesce(F.col(value).cast("double"), F.lit(0.0)) + 0.0, i: F.row_number().over(w)})  # -0.0 is 0.0
+    d = df.withColumns({v: F.coalesce(F.col(value).cast("double"), F.lit(0.0)) + 0.0})  # -0.0 is 0.0
+    d = windows.place(d, i, keys, order, ranges).withColumn(i, F.col(i) + 1) if ranges else d.withColumn(i, F.row_number().over(w))
     d = d.withColumn(low, (F.col(i) - 1) % n < half)
-    d = windows.distinct(d, a, F.col(v), half, [*keys, low], order)
-    if n % 2:  # the high half has a slot more
-        d = windows.distinct(d, b, F.col(v), half + 1, [*keys, low], order).withColumn(a, F.when(F.col(low), F.col(a)).otherwise(F.col(b)))
-    d = windows.distinct(d, u, F.col(v), n, keys, order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    if ranges:
+        place, sub, block, again = private(d, "from_zero", "in_half", "block", "again")
+        own_half, slot = F.when(F.col(low), half).otherwise(n - half), (F.col(i) - 1) % n
+        d = d.withColumns({place: F.col(i) - 1, sub: F.floor((F.col(i) - 1) / n) * own_half + slot - F.when(F.col(low), 0).otherwise(half)})
+        d = windows.distinct_placed(d, a, F.col(v), own_half, [*keys, low], sub)
+        d = windows.distinct_placed(d, u, F.col(v), F.lit(n), keys, place)
+        d = d.withColumn(again, F.explode(F.when(slot == n - 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))  # a block begins with the last row before it
+        d = d.withColumn(block, F.floor((F.col(i) - 1) / n) + F.col(again))
+        so_far = Window.partitionBy(*keys, block).orderBy(i).rowsBetween(Window.unboundedPreceding, 0)
+    else:
+        d = windows.distinct(d, a, F.col(v), half, [*keys, low], order)
+        if n % 2:  # the high half has a slot more
+            d = windows.distinct(d, b, F.col(v), half + 1, [*keys, low], order).withColumn(a, F.when(F.col(low), F.col(a)).otherwise(F.col(b)))
+        d = windows.distinct(d, u, F.col(v), n, keys, order)
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     sizes = []
     for is_low, full in ((F.col(low), half), (~F.col(low), n)):
         count = F.coalesce(F.last(F.when(is_low, F.col(a)), ignorenulls=True).over(so_far), F.lit(0))
         zero = F.coalesce(F.max(is_low & (F.col(v) == 0.0)).over(so_far), F.lit(False))
         sizes.append((count, zero, F.col(i) < full))
     d = d.withColumns({b: F.array(*[c + (first & ~z).cast("long") for c, z, first in sizes]), some: sizes[0][1] | sizes[1][1]})
+    d = d.where(F.col(again) == 0) if ranges else d
     union = F.col(u) + ((F.col(i) < n) & ~F.col(some)).cast("long")
     return d.withColumn(name, (F.get(b, F.lit(0)) + F.get(b, F.lit(1)) - union) / union).select(*windows.kept(df, name))
 

@@ -214,3 +214,40 @@ def test_distinct_sketch_of_few_values(spark, n):
         want = len({v for v in x[max(0, i + 1 - n) : i + 1] if v is not None})
         assert f == want if want <= 48 else abs(f - want) <= 0.15 * want
     assert windows.exact(d.limit(0), "f", "approxdistinct", "v", n, ["key"]).count() == 0
+
+
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_distinct_and_similarity_over_ranges(spark, keys):
+    """Counted in blocks of ranges of the order: as by sets, with nulls, repeats, one hot value and equal times."""
+    import random
+
+    rng = random.Random(3)
+    data = [(i, float(i // 3), "ab"[rng.random() < 0.3], rng.choice([None, 0.0, 1.0, 1.0, 1.0, *map(float, range(2, 9))])) for i in range(160)]
+    d = spark.createDataFrame(data, "edge_id long, ts double, key string, v double").repartition(5)
+    groups = {}
+    for r in data:
+        groups.setdefault(r[2] if keys else 0, []).append(r)
+    for n in (2, 5, 40, 200):
+        got = windows.exact(d, "c", "countdistinct", "v", n, keys, ranges=4).collect()
+        want = {g[j][0]: len({x[3] for x in g[max(0, j - n + 1) : j + 1]} - {None}) for g in groups.values() for j in range(len(g))}
+        assert {r.edge_id: r.c for r in got} == want and len(got) == len(data)
+        ring = {}
+        for g in groups.values():
+            slots = [0.0] * n
+            for j, x in enumerate(g):
+                slots[j % n] = x[3] or 0.0
+                lo, hi = set(slots[: n // 2]), set(slots[n // 2 :])
+                ring[x[0]] = len(lo & hi) / len(lo | hi)
+        got = sequential.similarity(d, "s", "v", n, keys, ranges=4).collect()
+        assert {r.edge_id: round(r.s, 9) for r in got} == {k: round(x, 9) for k, x in ring.items()} and len(got) == len(data)
+
+
+def test_several_features_share_their_blocks(spark):
+    d = rows(spark, [float((7 * i * i) % 23) if i % 9 else None for i in range(150)])
+    ops = ("sum", "ave", "var", "stddev", "max", "min", "count", "l2norm")
+    e = d
+    for op in ops:
+        e = windows.exact(e, op, op, "v", 40, ["key"])
+    several = windows.several(d, {op: op for op in ops}, "v", 40, ["key"], ranges=3)
+    plain = lambda x: sorted(tuple(None if v is None else round(v, 9) for v in r) for r in x.select("edge_id", *ops).collect())
+    assert plain(several) == plain(e)
