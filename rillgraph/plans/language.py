@@ -230,11 +230,12 @@ CONNECTIONS = ("VertexInfo",)
 class Planner:
     """Runs statements over given edge tables (edge_id, ts and the schema's columns); nothing is computed until an action.
 
-    mode 'eh' gives sum, ave and var the exponential histogram's window, 'exact' the last N rows.
+    mode 'eh' gives sum, ave and var the exponential histogram's window, 'exact' the last N rows. With `ranges`, top-k numbers a
+    key's rows in so many ranges of the order, for keys that hold a large share of all rows.
     """
 
-    def __init__(self, inputs: dict[str, DataFrame], mode: str = "eh", max_offset: float = 100.0):
-        self.inputs, self.mode, self.max_offset = inputs, mode, max_offset
+    def __init__(self, inputs: dict[str, DataFrame], mode: str = "eh", max_offset: float = 100.0, ranges: int = 0):
+        self.inputs, self.mode, self.max_offset, self.ranges = inputs, mode, max_offset, ranges
         self.settings = {"WINDOWSIZE": 10_000, "EHK": 2, "BASICWINDOWSIZE": 1000, "TOPK": 2}
         self.streams: dict[str, Stream] = {}
         self.features: dict[str, str] = {}
@@ -322,7 +323,7 @@ class Planner:
         if op == "topk":
             if len(numbers) != 3:
                 raise SyntaxFault("topk takes a field, window, block and k")
-            d = topk.topk(d, name, "_value", *numbers, of.keys)
+            d = topk.topk(d, name, "_value", *numbers, of.keys, ranges=self.ranges)
             base.topk.add(name)
         elif op == "similarity":
             d = sequential.similarity(d, name, "_value", n, of.keys)
